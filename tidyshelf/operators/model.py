@@ -41,7 +41,8 @@ def extract_dimension(facts: DataFrame, name: str, source: str, order: str, init
     first = facts.groupBy(F.col(name).alias("name")).agg(
         F.min(order).alias("_seen"), F.min_by(source, order).alias("source"))
     if existing is not None:
-        first = first.join(existing.select("name"), F.col("name").eqNullSafe(existing["name"]), "left_anti")
+        known = existing.select(F.col("name").alias("_known"))
+        first = first.join(known, F.col("name").eqNullSafe(F.col("_known")), "left_anti")
     new = add_ids(first, "_seen", initial=initial).select("id", "name", "source")
     return new if existing is None else existing.select("id", "name", "source").unionByName(new)
 
