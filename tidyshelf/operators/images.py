@@ -7,12 +7,15 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Leading bytes by format, as hex.
 PNG, GIF87, GIF89, JPEG_RAW = "89504E470D0A1A0A", "474946383761", "474946383961", "FFD8FFDB"
 JFIF, EXIF = "4A464946", "45786966"
 SHORTEST_HEADER = 24
 
+SIZE = T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())])
+
 
 def _hex(content: Column, start: int, length: int) -> Column:
     return F.hex(F.substring(content, start, length))
@@ -50,7 +53,7 @@ def _jpeg_frame(content: bytes) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("width bigint, height bigint")
+@F.pandas_udf(SIZE)
 def jpeg_size(content: pd.Series) -> pd.DataFrame:
     """Sizes of JPEG bytes; null in, null out."""
     found = [None if c is None else _jpeg_frame(bytes(c)) for c in content]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidyshelf.functions.text import canonical_name
 from tidyshelf.session import pin
@@ -93,7 +94,7 @@ def _numbered_grams(name: Column) -> Column:
         g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two names, the missing one first."""
     from difflib import SequenceMatcher
@@ -157,6 +158,17 @@ def _containing_pairs(missing: DataFrame, have: DataFrame) -> DataFrame:
     return rarest.join(index, "piece").where(F.contains("name_b", "name_a")).select("name_a", "name_b")
 
 
+def containing_candidates(missing: DataFrame, have: DataFrame) -> DataFrame:
+    """For each missing name the known names that contain it."""
+    return _containing_pairs(missing, have).select(F.col("name_a").alias("missing"), F.col("name_b").alias("candidate"))
+
+
+def fetch_manifest(records: DataFrame, table: str, url: str, name: str, exclude: str) -> DataFrame:
+    """What to fetch, ``(table, url, name)``, without the URLs of a known host."""
+    known = F.coalesce(F.contains(F.col(url), F.lit(exclude)), F.lit(False))
+    return records.where(~known).select(F.lit(table).alias("table"), F.col(url).alias("url"), F.col(name).alias("name"))
+
+
 def fuzzy_candidates(missing: DataFrame, have: DataFrame, ratio: float = 0.80) -> DataFrame:
     """For each missing name the known names with a ratio above the limit, or that contain it."""
     if ratio < 0.80:

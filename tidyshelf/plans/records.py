@@ -143,9 +143,9 @@ def d9(spark, sf):
     WITH g AS (SELECT CAST(hash AS BIGINT) AS hash, count(*) AS copies, min(vec_id) AS first FROM ({DHASH_SQL}) GROUP BY hash)
     SELECT a.hash AS hash_a, b.hash AS hash_b, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance,
            a.copies AS copies_a, a.first AS first_a, b.copies AS copies_b, b.first AS first_b
-    FROM g a JOIN g b ON a.hash < b.hash AND bit_count(xor(a.hash, b.hash)) <= 4""")
+    FROM g a JOIN g b ON a.hash < b.hash AND bit_count(xor(a.hash, b.hash)) <= 2""")
 def d9_near(spark, sf):
-    return similar.near_duplicates(embedding_hashes(spark, sf), "hash", "vec_id", GRID_BITS, 4)
+    return similar.near_duplicates(embedding_hashes(spark, sf), "hash", "vec_id", GRID_BITS, 2)
 
 
 @query("e1_resolve_fk", """
