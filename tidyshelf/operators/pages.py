@@ -161,8 +161,12 @@ def pivot_by_suffix(pages: DataFrame, suffixes: Sequence[str], t: Template = GAL
 
     items = F.transform(F.regexp_extract_all("html", F.lit(t.image), 1), named)
     base = pages.select("page_id", F.col("section").alias("name"), crumb(source).alias("source"), items.alias("items"))
-    columns = [F.try_element_at(F.filter("items", lambda x, s=s: matches(x, s)), F.lit(-1))["image"].alias(s)
-               for s in suffixes]
+
+    def last_image(suffix: str) -> Column:
+        hits = F.filter("items", lambda x: matches(x, suffix))
+        return F.try_element_at(hits, F.lit(-1))["image"].alias(suffix)
+
+    columns = [last_image(suffix) for suffix in suffixes]
     parents = base.select("page_id", "name", "source", *columns)
     plain = F.filter(F.transform("items", lambda x, i: F.struct(i.alias("pos"), x.alias("item"))),
                      lambda x: ~_any([matches(x["item"], s) for s in suffixes]))
