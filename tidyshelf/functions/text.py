@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# What counts as white space, and as a letter, digit or underscore.
-SPACE = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The code points that count as white space, as a text and as a regular-expression
+# class, and the class of letters, digits and the underscore.
+BLANKS = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
+SPACE = "".join(f"\\x{{{ord(c):x}}}" for c in BLANKS)
 WORD = r"\p{L}\p{N}_"
 
 
 def strip(col: Column) -> Column:
     """Remove white space of any kind from both ends."""
-    return F.regexp_replace(col, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def literal_map(mapping: Mapping[str, str]) -> Column:
@@ -81,9 +83,13 @@ def normalize_source(col: Column, rename: Mapping[str, str], remove: str, correc
 
 
 def slugify(col: Column) -> Column:
-    """Lower-case words joined by single hyphens; everything but word characters goes."""
-    kept = F.lower(strip(F.regexp_replace(col, f"[^{WORD}{SPACE}-]", "")))
-    return F.regexp_replace(kept, f"[{SPACE}-]+", "-")
+    """Lower-case words joined by single hyphens; everything but word characters goes.
+
+    All white space becomes the plain blank first, which keeps the patterns short and fast.
+    """
+    blank = F.translate(col, BLANKS, " " * len(BLANKS))
+    kept = F.btrim(F.regexp_replace(blank, f"[^{WORD} -]+", ""))
+    return F.regexp_replace(F.lower(kept), "[ -]+", "-")
 
 
 def squeeze(col: Column) -> Column:

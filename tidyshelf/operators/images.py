@@ -62,6 +62,10 @@ def jpeg_size(content: pd.Series) -> pd.DataFrame:
         "height": pd.array([None if f is None else f[1] for f in found], dtype="Int64")})
 
 
+# Marked so that a later filter on the size does not run it a second time.
+jpeg_size = jpeg_size.asNondeterministic()
+
+
 def image_sizes(files: DataFrame, content: str = "content") -> DataFrame:
     """Adds ``format``, ``width`` and ``height``, null where the header cannot be read.
 
@@ -92,13 +96,15 @@ def dimension_summary(sizes: DataFrame, *by: str, predicate: Column | None = Non
 def resize_plan(sizes: DataFrame, width: int | None = None, height: int | None = None) -> DataFrame:
     """Fitted size and canvas offset of every image that is not on target yet.
 
-    The target defaults to the smallest width and height found. Sizes shrink by width first, then
+    The target defaults to the smallest width and height found, which reads ``sizes`` twice: pin
+    sizes that come straight from file contents. Sizes shrink by width first, then
     by height, cut to whole pixels and never below one; they never grow.
     """
-    least = sizes.agg(F.min("width").alias("w"), F.min("height").alias("h"))
-    target_w = F.lit(width).cast("bigint") if width is not None else least.select("w").scalar()
-    target_h = F.lit(height).cast("bigint") if height is not None else least.select("h").scalar()
-    rows = sizes.withColumns({"target_width": target_w, "target_height": target_h})
+    given = F.lit(width).cast("bigint"), F.lit(height).cast("bigint")
+    if width is None or height is None:
+        least = sizes.agg(F.struct(F.min("width").alias("w"), F.min("height").alias("h")).alias("least")).scalar()
+        given = F.coalesce(given[0], least["w"]), F.coalesce(given[1], least["h"])
+    rows = sizes.withColumns({"target_width": given[0], "target_height": given[1]})
     rows = rows.where((F.col("width") != F.col("target_width")) | (F.col("height") != F.col("target_height")))
     w, h, tw, th = (F.col(c) for c in ("width", "height", "target_width", "target_height"))
     h1 = F.when(w > tw, F.greatest(F.floor(h * tw / w), F.lit(1))).otherwise(h)
@@ -150,31 +156,41 @@ def copy_manifest(images: DataFrame, read_root: str, write_root: str, path: str
         "write_path": F.concat_ws("/", F.lit(write_root.rstrip("/")), path)})
 
 
+# Bin widths by which a median is closed in on, coarse to fine.
+MEDIAN_BINS = (2.0 ** 16, 1.0, 2.0 ** -16)
+
+
 def exact_median(df: DataFrame, by: str, value: str) -> DataFrame:
     """Median per group as ``(by, median)``, the mean of the two middle values.
 
-    Equal values are counted first. The middle ranks are then placed in a unit-wide bin by the bin
-    totals, and only that bin's distinct values are ranked, so no task holds a whole group.
+    Equal values are counted first. The middle ranks are then followed from wide bins to narrow
+    ones by the bins' totals, so that a window never spans more than the bins inside one wider bin
+    and no task holds a whole group.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_g"), F.col(value).alias("_v")).agg(
-        F.count("*").alias("_n")).withColumn("_bin", F.floor("_v"))
-    bins = counts.groupBy("_g", "_bin").agg(F.sum("_n").alias("_n"))
-    up_to = Window.partitionBy("_g").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("_g")
-    ranked = bins.withColumns({"_upto": F.sum("_n").over(up_to), "_all": F.sum("_n").over(whole)})
-    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
-    before = F.col("_upto") - F.col("_n")
-    middle = ranked.where((before < high) & (F.col("_upto") >= low)).select(
-        F.col("_g").alias("_mg"), F.col("_bin").alias("_mbin"), before.alias("_before"), low.alias("_low"), high.alias("_high"))
-    inside = Window.partitionBy("_g", "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    values = (
-        counts.join(middle, F.col("_g").eqNullSafe(F.col("_mg")) & (F.col("_bin") == F.col("_mbin")))
-        .withColumn("_rank", F.col("_before") + F.sum("_n").over(inside))
-        .withColumn("_first", F.col("_rank") - F.col("_n"))
+    g, v = F.col(by).alias("_g"), F.col(value).alias("_v")
+    counts = df.where(F.col(value).isNotNull()).groupBy(g, v).agg(F.count("*").alias("_n"))
+    both = F.array_distinct(F.array(F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1))
+    targets = (
+        counts.groupBy("_g").agg(F.sum("_n").alias("_all"))
+        .select(F.col("_g").alias("_tg"), F.explode(both).alias("_rank"), F.lit(0).cast("bigint").alias("_before"))
     )
-    holds = lambda rank: (F.col("_first") < rank) & (F.col("_rank") >= rank)
-    return values.groupBy(F.col("_g").alias(by)).agg(
-        ((F.max(F.when(holds(F.col("_low")), F.col("_v"))) + F.max(F.when(holds(F.col("_high")), F.col("_v")))) / 2).alias("median"))
+    integral = isinstance(df.schema[value].dataType, T.IntegralType)
+    widths = [w for w in MEDIAN_BINS if w >= 1 or not integral]
+    steps = [F.floor(F.col("_v") / F.lit(w)) for w in widths] + [F.col("_v")]
+    wider = None
+    for step in steps:
+        inside = F.col("_g").eqNullSafe(F.col("_tg"))
+        if wider is not None:
+            inside = inside & (wider == F.col("_tbin"))
+        up_to = Window.partitionBy("_g", "_rank").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        bins = (
+            counts.join(targets, inside).groupBy("_g", "_rank", "_before", step.alias("_bin")).agg(F.sum("_n").alias("_n"))
+            .withColumn("_upto", F.col("_before") + F.sum("_n").over(up_to))
+        )
+        targets = bins.where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))).select(
+            F.col("_g").alias("_tg"), "_rank", (F.col("_upto") - F.col("_n")).alias("_before"), F.col("_bin").alias("_tbin"))
+        wider = step
+    return targets.groupBy(F.col("_tg").alias(by)).agg(((F.min("_tbin") + F.max("_tbin")) / 2).alias("median"))
 
 
 def median_band(df: DataFrame, by: str, value: str, sigma: float = 0.33, floor: float = 0, ceiling: float = 255) -> DataFrame:

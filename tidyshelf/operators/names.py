@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -97,11 +98,13 @@ def _numbered_grams(name: Column) -> Column:
 @F.pandas_udf(T.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two names, the missing one first."""
-    from difflib import SequenceMatcher
-
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+# Marked so that the optimizer neither repeats it nor moves it below the step that makes pairs distinct.
+matching_ratio = matching_ratio.asNondeterministic()
+
+
 def _ratio_pairs(missing: DataFrame, have: DataFrame, ratio: float) -> DataFrame:
     """Pairs that can exceed the ratio, checked exactly.
 
@@ -170,10 +173,14 @@ def fetch_manifest(records: DataFrame, table: str, url: str, name: str, exclude:
 
 
 def fuzzy_candidates(missing: DataFrame, have: DataFrame, ratio: float = 0.80) -> DataFrame:
-    """For each missing name the known names with a ratio above the limit, or that contain it."""
+    """For each missing name the known names with a ratio above the limit, or that contain it.
+
+    Both name lists are read several times and are pinned first.
+    """
     if ratio < 0.80:
         raise ValueError("below 0.80 close names need not share a bigram")
-    wanted, known = missing.select("name").distinct(), have.select("name").distinct()
+    wanted = pin(missing.select("name").distinct(), "missing-names")
+    known = pin(have.select("name").distinct(), "known-names")
     close = _ratio_pairs(wanted, known, ratio).select("name_a", "name_b")
     return close.unionByName(_containing_pairs(wanted, known)).distinct().select(
         F.col("name_a").alias("missing"), F.col("name_b").alias("candidate"))

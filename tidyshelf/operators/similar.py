@@ -8,21 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def dhash(values: Column, width: int, rows: int) -> Column:
+def dhash(values: Column, width: int) -> Column:
     """One bit per neighbouring pair in each row of a grid: set where the right value is larger.
 
-    ``values`` is the grid row by row. The first pair becomes the highest of ``rows * (width - 1)``
-    bits, at most 63.
+    ``values`` is the grid row by row. The first pair becomes the highest bit; at most 63 pairs fit.
     """
-    pairs = [(r * width + c, r * width + c + 1) for r in range(rows) for c in range(width - 1)]
-    if len(pairs) > 63:
-        raise ValueError("at most 63 pairs fit a hash")
-    bits = [F.when(F.get(values, F.lit(b)) > F.get(values, F.lit(a)), F.lit(1 << (len(pairs) - 1 - n))).otherwise(F.lit(0))
-            for n, (a, b) in enumerate(pairs)]
-    total = bits[0].cast("bigint")
-    for bit in bits[1:]:
-        total = total.bitwiseOR(bit.cast("bigint"))
-    return total
+    lefts = F.filter(values, lambda _, i: i % width != width - 1)
+    rights = F.filter(values, lambda _, i: i % width != 0)
+    bits = F.zip_with(lefts, rights, lambda a, b: F.when(b > a, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda total, bit: F.shiftleft(total, 1).bitwiseOR(bit))
 
 
 def hex_hash(col: Column, bits: int) -> Column:

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tidyshelf.operators import images as j
 from tidyshelf.plans.registry import query, table
+from tidyshelf.session import pin
 
 
 def part_files(spark, sf):
-    """A small image file per part: four kinds of good header, a cut one, and one of no image."""
+    """A small image file per part, written as a table: good headers of three formats, a JPEG without a
+    frame, a cut PNG, and text that is no image."""
     width, height = F.col("p_size") * 7 + 20, (F.col("p_partkey") % 400 + 30).cast("int")
     word = lambda col, digits: F.lpad(F.hex(col), digits, "0")
     little = lambda col: F.concat(F.substring(word(col, 4), 3, 2), F.substring(word(col, 4), 1, 2))
@@ -22,7 +24,7 @@ def part_files(spark, sf):
                .when(kind == "PROMO", F.concat(start, F.lit("FFDB0004AAAA"))).when(kind == "SMALL", F.left(png, F.lit(40)))
                .otherwise(F.hex(F.concat(F.lit("<html><body>no image</body></html>"), "p_name"))))
     path = F.concat(F.lit("part-cards/"), F.col("p_partkey").cast("string"))
-    return table(spark, sf, "part").select("p_partkey", "p_type", path.alias("path"), F.unhex(content).alias("content"))
+    return pin(table(spark, sf, "part").select("p_partkey", "p_type", path.alias("path"), F.unhex(content).alias("content")), "images")
 
 
 SIZES_SQL = """
@@ -69,7 +71,7 @@ def _plan_sql(width: str, height: str) -> str:
 
 @query("j3_resize_plan", _plan_sql("(SELECT min(width) FROM known)", "(SELECT min(height) FROM known)"))
 def j3(spark, sf):
-    return j.resize_plan(known_sizes(spark, sf).select("path", "width", "height"))
+    return j.resize_plan(pin(known_sizes(spark, sf).select("path", "width", "height"), "sizes"))
 
 
 @query("j3_resize_to_box", _plan_sql("CAST(150 AS BIGINT)", "CAST(200 AS BIGINT)"))

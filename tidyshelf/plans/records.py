@@ -125,7 +125,7 @@ def d8_collisions(spark, sf):
 
 def embedding_hashes(spark, sf):
     """Each embedding read as a grid of values."""
-    return table(spark, sf, "embeddings").select("vec_id", similar.dhash(F.col("embedding"), GRID_WIDTH, GRID_ROWS).alias("hash"))
+    return table(spark, sf, "embeddings").select("vec_id", similar.dhash(F.col("embedding"), GRID_WIDTH).alias("hash"))
 
 
 _PAIRS = [(r * GRID_WIDTH + i, r * GRID_WIDTH + i + 1) for r in range(GRID_ROWS) for i in range(GRID_WIDTH - 1)]

@@ -13,21 +13,26 @@ def write_by_type(df: DataFrame, type_col: str, folder: str, orders: Mapping[str
     """One folder ``type_col=value`` per record type; returns the rows per type now in the folder,
     empty known types included.
 
-    ``orders`` names the sort columns of some types, nulls first. Rows are range-partitioned by type
-    and sort key, so a large type spreads over many files, in file-name order. Types without rows
-    get an empty folder of their schema.
+    ``orders`` names the sort columns of some types, nulls first; ties and other types keep the order
+    of ``seq``, or else of arrival. Rows are range-partitioned by type and all of these, so a large
+    type, or one sort key of it, spreads over many files, in file-name order. Types without rows get
+    an empty folder of their schema.
     """
+    columns = df.columns
+    if seq is None:
+        seq, df = "_arrival", df.withColumn("_arrival", F.monotonically_increasing_id())
     keys = [F.col(type_col).asc_nulls_first()]
-    for kind, columns in (orders or {}).items():
-        keys += [F.when(F.col(type_col) == kind, F.col(c)).asc_nulls_first() for c in columns]
-    if seq:
-        keys.append(F.col(seq).asc())
+    for kind, names in (orders or {}).items():
+        keys += [F.when(F.col(type_col) == kind, F.col(c)).asc_nulls_first() for c in names]
+    keys.append(F.col(seq).asc())
     spark = df.sparkSession
     seen, source = None, df
     if known:
         seen = Observation()
         source = df.observe(seen, *[F.count_if(F.col(type_col) == k).alias(f"n{i}") for i, k in enumerate(known)])
-    source.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode(mode).format(fmt).partitionBy(type_col).save(folder)
+    df = df.select(*columns)
+    ordered = source.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*columns)
+    ordered.write.mode(mode).format(fmt).partitionBy(type_col).save(folder)
     for i, kind in enumerate(known):
         if seen.get[f"n{i}"] == 0:
             df.drop(type_col).limit(0).write.mode(mode).format(fmt).save(f"{folder}/{type_col}={kind}")
@@ -37,12 +42,13 @@ def write_by_type(df: DataFrame, type_col: str, folder: str, orders: Mapping[str
     return counts.join(expected, type_col, "full").select(type_col, F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
-def pack_overrides(df: DataFrame, shards: int = 64) -> DataFrame:
+def pack_overrides(df: DataFrame, entries: int = 5000) -> DataFrame:
     """Long answers ``(source, field, pk, value)``, one per key, -> documents with a three-level map.
 
-    The memory is split by key into ``shards`` documents per source and field, so that none holds
-    all answers; choose their number for maps of a few thousand entries. ``read_overrides`` takes any number.
+    Keys are spread over as many documents as keep a map at about ``entries``, so that none holds
+    all answers of a field. ``read_overrides`` takes any number.
     """
+    shards = -(-df.count() // entries) or 1
     shard = F.pmod(F.xxhash64("pk"), F.lit(shards)).alias("shard")
     answers = df.groupBy("source", "field", shard).agg(
         F.map_from_entries(F.collect_list(F.struct("pk", "value"))).alias("answers"))
@@ -50,9 +56,9 @@ def pack_overrides(df: DataFrame, shards: int = 64) -> DataFrame:
         "shard", F.create_map("source", F.create_map("field", "answers")).alias("memory"))
 
 
-def write_overrides(df: DataFrame, folder: str, shards: int = 64) -> None:
+def write_overrides(df: DataFrame, folder: str, entries: int = 5000) -> None:
     """The packed memory as JSON documents."""
-    pack_overrides(df, shards).select("memory").write.mode("overwrite").json(folder)
+    pack_overrides(df, entries).select("memory").write.mode("overwrite").json(folder)
 
 
 def append_records(df: DataFrame, new: DataFrame) -> DataFrame:
