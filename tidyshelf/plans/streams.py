@@ -84,4 +84,4 @@ def k4(spark, sf):
     folder, progress = shared_path(spark, "fan-out"), shared_path(spark, "progress")
     stream = arriving(spark, sf, "documents").select("lang", "source", "doc_id", "n_chars")
     s.start_fan_out(stream, "lang", folder, progress, {"en": ["source", "n_chars"]}, seq="doc_id").awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "false").json(f"{folder}/batch=*").select(stream.columns)
+    return s.read_fan_out(spark, folder, stream.schema)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidyshelf.operators.keys import drop_known_content
 from tidyshelf.sources.sinks import write_by_type
@@ -62,6 +63,11 @@ def start_fan_out(stream: DataFrame, type_col: str, folder: str, checkpoint: str
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def read_fan_out(spark: SparkSession, folder: str, schema: StructType, fmt: str = "json") -> DataFrame:
+    """All batches of a fan-out as one table."""
+    return spark.read.schema(schema).format(fmt).load(folder).select(*schema.names)
+
+
 def run_to_table(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
     """Run over everything available now into a parquet folder and read it back."""
     query = (
