@@ -85,11 +85,12 @@ def normalize_source(col: Column, rename: Mapping[str, str], remove: str, correc
 def slugify(col: Column) -> Column:
     """Lower-case words joined by single hyphens; everything but word characters goes.
 
-    All white space becomes the plain blank first, which keeps the patterns short and fast.
+    White space and single hyphens are mapped character by character, so that the patterns stay
+    short and only real runs are rewritten.
     """
     blank = F.translate(col, BLANKS, " " * len(BLANKS))
     kept = F.btrim(F.regexp_replace(blank, f"[^{WORD} -]+", ""))
-    return F.regexp_replace(F.lower(kept), "[ -]+", "-")
+    return F.regexp_replace(F.translate(F.lower(kept), " ", "-"), "-{2,}", "-")
 
 
 def squeeze(col: Column) -> Column:

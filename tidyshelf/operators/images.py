@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidyshelf.session import pin
+
 # Leading bytes by format, as hex.
 PNG, GIF87, GIF89, JPEG_RAW = "89504E470D0A1A0A", "474946383761", "474946383961", "FFD8FFDB"
 JFIF, EXIF = "4A464946", "45786966"
@@ -163,12 +165,12 @@ MEDIAN_BINS = (2.0 ** 16, 1.0, 2.0 ** -16)
 def exact_median(df: DataFrame, by: str, value: str) -> DataFrame:
     """Median per group as ``(by, median)``, the mean of the two middle values.
 
-    Equal values are counted first. The middle ranks are then followed from wide bins to narrow
+    Equal values are counted first, and the counts pinned. The middle ranks are then followed from wide bins to narrow
     ones by the bins' totals, so that a window never spans more than the bins inside one wider bin
     and no task holds a whole group.
     """
     g, v = F.col(by).alias("_g"), F.col(value).alias("_v")
-    counts = df.where(F.col(value).isNotNull()).groupBy(g, v).agg(F.count("*").alias("_n"))
+    counts = pin(df.where(F.col(value).isNotNull()).groupBy(g, v).agg(F.count("*").alias("_n")), "values")
     both = F.array_distinct(F.array(F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1))
     targets = (
         counts.groupBy("_g").agg(F.sum("_n").alias("_all"))

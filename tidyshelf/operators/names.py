@@ -13,33 +13,31 @@ from pyspark.sql import types as T
 from tidyshelf.functions.text import canonical_name
 from tidyshelf.session import pin
 
-# Levels planned in one piece before the open records are pinned.
-LEVELS_PER_PLAN = 4
-
-
 def unique_names(df: DataFrame, pk: str, strategies: Sequence[Sequence[str]], out: str = "canonical",
                  **naming) -> DataFrame:
     """Name every record with the first strategy under which no other open record has its name.
 
     Adds ``out`` and ``level``; records no strategy can tell apart get an empty name and no level.
-    Only the key and the candidate names go through the cascade. Each level is one count per name,
-    combined map-side, that keeps the names held once together with their only key; settled records
-    then leave by key, so a hot name is never joined or gathered.
+    Only the unique key and the candidate names go through the cascade. Each level is one count per
+    name, combined map-side, that keeps the names held once together with their only key; settled
+    records are then marked by key, so a hot name is never joined or gathered. Every level's table
+    is pinned, which keeps the work linear in the number of levels, and the next reads what is open.
     """
     names = [f"_n{i}" for i in range(len(strategies))]
-    open_rows = df.select(F.col(pk).alias("_pk"),
-                          *[canonical_name(df, *s, **naming).alias(n) for s, n in zip(strategies, names)])
+    candidates = [canonical_name(df, *s, **naming).alias(n) for s, n in zip(strategies, names)]
+    open_rows = pin(df.select(F.col(pk).alias("_pk"), *candidates), "names")
     settled = None
     for level, name in enumerate(names):
-        if level and level % LEVELS_PER_PLAN == 0:
-            open_rows = pin(open_rows, "open-names")
         once = (
-            open_rows.groupBy(name).agg(F.count("*").alias("_held"), F.min("_pk").alias("_pk"))
-            .where("_held = 1")
-            .select("_pk", F.col(name).alias(out), F.lit(level).alias("level"))
+            open_rows.groupBy(name).agg(F.count("*").alias("_held"), F.min("_pk").alias("_pk")).where("_held = 1")
+            .select("_pk", F.lit(level).alias("level"), F.col(name).alias(out))
         )
+        if level < len(names) - 1:
+            marked = open_rows.drop(name).join(once, "_pk", "left")
+            marked = pin(marked, "names")
+            once = marked.where("level IS NOT NULL").select("_pk", "level", out)
+            open_rows = marked.where("level IS NULL").drop("level", out)
         settled = once if settled is None else settled.unionByName(once)
-        open_rows = open_rows.join(once, "_pk", "left_anti")
     return (
         df.join(settled, F.col(pk) == F.col("_pk"), "left").drop("_pk")
         .withColumn(out, F.coalesce(F.col(out), F.lit("")))

@@ -84,9 +84,9 @@ def route_pages(pages: DataFrame, rules: Sequence[tuple[str, Column]], out: str
     return pages.withColumn(out, route)
 
 
-def page_blocks(pages: DataFrame, pattern: str) -> DataFrame:
-    """One row per repeated block with its position; ``section`` and ``crumbs`` stay at hand."""
-    return pages.select("page_id", "section", "crumbs",
+def page_blocks(pages: DataFrame, pattern: str, *keep: str) -> DataFrame:
+    """One row per repeated block with its position; ``section``, ``crumbs`` and ``keep`` stay at hand."""
+    return pages.select("page_id", "section", "crumbs", *keep,
                         F.posexplode(F.regexp_extract_all("html", F.lit(pattern), 1)).alias("pos", "block"))
 
 
@@ -229,9 +229,10 @@ def content_backs(pages: DataFrame, marker: str, t: Template = GALLERY) -> DataF
 
 
 def deck_backs(pages: DataFrame, deck: Column | str, t: Template = GALLERY) -> DataFrame:
-    """Card backs of one deck, the album title being the variant."""
-    return page_blocks(pages, t.album).select(
-        "page_id", "pos", (F.lit(deck) if isinstance(deck, str) else deck).alias("deck"),
+    """Card backs with the album title as variant; the deck is fixed, or depends on the page."""
+    named = pages.withColumn("deck", F.lit(deck) if isinstance(deck, str) else deck)
+    return page_blocks(named, t.album, "deck").select(
+        "page_id", "pos", "deck",
         first_match(F.col("block"), t.text).alias("variant"), first_match(F.col("block"), t.src).alias("image"))
 
 

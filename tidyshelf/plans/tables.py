@@ -138,7 +138,7 @@ def a8(spark, sf):
 def a9(spark, sf):
     """Folders of the files a partitioned write left."""
     folder = shared_path(spark, "files")
-    table(spark, sf, "documents").repartition("lang", "source").write.partitionBy("lang", "source").parquet(folder)
+    table(spark, sf, "documents").write.partitionBy("lang", "source").parquet(folder)
     files = src.list_files(spark, folder, "*.parquet").where("length > 0")
     return files.select(F.substring_index("path", "/", 2).alias("folder")).distinct()
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidyshelf.functions.text import replace_exact
 from tidyshelf.operators import pages as p
 from tidyshelf.plans.registry import query, table
 
@@ -172,14 +173,10 @@ def i14(spark, sf):
 @query("i15_deck_backs", ROUTED_SQL + """SELECT i.page_id, i.pos, CASE route WHEN 'deck' THEN 'Condition' WHEN 'pack' THEN 'Class' ELSE 'Upgrade' END AS deck,
     i.name AS variant, i.image FROM i JOIN r USING (page_id) WHERE route IS NOT NULL""")
 def i15(spark, sf):
-    """Each route's pages hold the backs of one deck."""
-    routed = p.route_pages(read(spark, sf), routes())
+    """Each route's pages hold the backs of one deck; all are read in one pass."""
+    routed = p.route_pages(read(spark, sf), routes()).where("route IS NOT NULL")
     decks = {"deck": "Condition", "pack": "Class", "hero": "Upgrade", "deep": "Upgrade", "listing": "Upgrade"}
-    out = None
-    for route, deck in decks.items():
-        backs = p.deck_backs(routed.where(F.col("route") == route), deck, MENU)
-        out = backs if out is None else out.unionByName(backs)
-    return out
+    return p.deck_backs(routed, replace_exact(F.col("route"), decks), MENU)
 
 
 @query("i16_split_backs", PAGES_SQL + """SELECT page_id, pos, 'card' AS kind, name, crumbs[-2] AS source, image FROM i
