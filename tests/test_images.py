@@ -62,9 +62,11 @@ def test_references(frame):
     assert rows(j.copy_manifest(long, "in/", "out"), "read_path", "write_path")[0] == ("in/a.png", "out/a.png")
 
 
+@pytest.mark.parametrize("small", [0, 50, 1_000_000])
 @pytest.mark.parametrize("kind,make", [("double", lambda i: (i * 37 % 101) / 7 - 3), ("bigint", lambda i: i * i * 7919 % 300007 - 1000),
                                        ("double", lambda i: 5.0), ("double", lambda i: i * 1e-7)])
-def test_median_equals_statistics(frame, kind, make):
+def test_median_equals_statistics(frame, monkeypatch, kind, make, small):
+    monkeypatch.setattr(j, "SMALL_GROUP", small)
     data = [(g, make(i)) for g, size in (("a", 7), ("b", 100), ("c", 1), ("d", 2)) for i in range(size)] + [("a", None), (None, make(1))]
     got = {r.g: r.median for r in j.exact_median(frame(data, f"g string, v {kind}"), "g", "v").collect()}
     want = {g: statistics.median([v for h, v in data if h == g and v is not None]) for g in {g for g, _ in data}}
