@@ -103,38 +103,74 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 matching_ratio = matching_ratio.asNondeterministic()
 
 
+# Missing names up to this length are keyed by place and partner length too.
+SHORT_NAME = 24
+
+
+def _least_match(total: Column, ratio: float) -> Column:
+    """Fewest matched characters that lift names of this total length above the ratio."""
+    return (F.floor(total * (ratio / 2)) + 1).cast("int")
+
+
+def _needed(total: Column, ratio: float) -> Column:
+    """Fewest bigrams such names share: each of the unmatched characters can break one run of them."""
+    return F.greatest(F.lit(1), 3 * _least_match(total, ratio) - total - 1)
+
+
+def _partner_lengths(length: Column, ratio: float) -> Column:
+    """Lengths a name's partners can have."""
+    reach = ratio / (2 - ratio)
+    around = F.sequence(F.ceil(length * reach - 1e-9).cast("int"), F.floor(length / reach + 1e-9).cast("int"))
+    return F.filter(around, lambda n: _least_match(n + length, ratio) <= F.least(n, length))
+
+
+def _ranked_grams(names: DataFrame, often: DataFrame) -> DataFrame:
+    """Each name with its bigrams and their places, rarest first."""
+    places = names.select("name", F.posexplode(_grams(F.col("name"), 2)).alias("pos", "g"))
+    ranked = places.join(often, "g").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "g", "pos"))).alias("ranked"))
+    return ranked.withColumns({"len": F.length("name"), "grams": _numbered_grams(F.col("name"))})
+
+
 def _ratio_pairs(missing: DataFrame, have: DataFrame, ratio: float) -> DataFrame:
-    """Pairs that can exceed the ratio, checked exactly.
+    """Pairs above the ratio, found by keys and then checked exactly.
 
-    For lengths a + b = s, a ratio above r means more than r*s/2 matched characters in fewer than
-    (1-r)*s + 1 blocks, hence more than k*s - 1 common bigrams with k = 1.5*r - 1. Each side is
-    keyed by its rarest bigrams only, as many as a pair must reach into, and a key is dropped when
-    the grams left after it cannot make up the count.
+    The lengths of two names fix how many characters must match, hence how far a common run can be
+    shifted and how many bigrams they share at least. So one of a few rarest bigrams of each must be
+    common to both, at nearly the same place. Known names are listed under these bigrams with place
+    and length; a missing name looks under every length and place that could do. Missing names that
+    are too long to enumerate those are keyed by the bigram, and the same bounds are join conditions.
     """
-    k, reach = 1.5 * ratio - 1, ratio / (2 - ratio)
     every = missing.select("name").unionByName(have.select("name"))
-    often = every.select(F.explode(_numbered_grams(F.col("name"))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-
-    def keyed(df: DataFrame, side: str) -> DataFrame:
-        rows = df.select("name", F.length("name").alias("len"), F.explode(_numbered_grams(F.col("name"))).alias("g"))
-        ranked = rows.join(often, "g").groupBy("name", "len").agg(
-            F.array_sort(F.collect_list(F.struct("n", "g"))).alias("gs"))
-        needed = F.greatest(F.lit(1), F.floor(k * (1 + reach) * F.col("len") - 1 - 1e-9).cast("int") + 1)
-        keys = F.slice("gs", F.lit(1), F.greatest(F.lit(0), F.size("gs") - needed + 1))
-        return ranked.select(
-            F.col("name").alias(f"name_{side}"), F.col("len").alias(f"len_{side}"),
-            F.transform("gs", lambda s: s["g"]).alias(f"grams_{side}"),
-            F.size("gs").alias(f"size_{side}"), F.posexplode(keys).alias(f"at_{side}", "key"),
-        ).withColumn("key", F.col("key.g"))
-
-    s = F.col("len_a") + F.col("len_b")
-    needed = k * s - 1 - 1e-9
-    reachable = 1 + F.least(F.col("size_a") - F.col("at_a") - 1, F.col("size_b") - F.col("at_b") - 1)
-    near = (F.lit(2.0) * F.least("len_a", "len_b") / s > ratio)
+    often = every.select(F.explode(_grams(F.col("name"), 2)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+
+    def listed(ranked: DataFrame, side: str, needed: Column) -> DataFrame:
+        """One row per key bigram: as many of the rarest as must hold a common one."""
+        keys = F.slice("ranked", F.lit(1), F.greatest(F.lit(0), F.size("ranked") - needed + 1))
+        others = [c for c in ranked.columns if c not in ("name", "len", "grams", "ranked")]
+        rows = ranked.select(*others, F.col("name").alias(f"name_{side}"), F.col("len").alias(f"len_{side}"),
+                             F.col("grams").alias(f"grams_{side}"), F.posexplode(keys).alias(f"at_{side}", "key"))
+        return rows.withColumns({"g": F.col("key.g"), f"pos_{side}": F.col("key.pos")}).drop("key")
+
+    length = F.col("len")
+    partners = _partner_lengths(length, ratio)
+    least_needed = F.array_min(F.transform(partners, lambda n: _needed(n + length, ratio)))
+    known = listed(_ranked_grams(have, often), "b", least_needed)
+    wanted = _ranked_grams(missing, often)
+    total = F.col("len_a") + F.col("len_b")
+    match = _least_match(total, ratio)
+    before, after = F.col("len_a") - match, F.col("len_b") - match
+    within = (F.col("at_a") <= F.size("grams_a") - _needed(total, ratio)) & (F.col("at_b") <= F.size("grams_b") - _needed(total, ratio))
+    enough = F.size(F.array_intersect("grams_a", "grams_b")) >= _needed(total, ratio)
+
+    short = wanted.where(length <= SHORT_NAME).withColumn("len_b", F.explode(partners))
+    short = listed(short, "a", _needed(length + F.col("len_b"), ratio))
+    short = short.withColumn("pos_b", F.explode(F.sequence(F.col("pos_a") - before, F.col("pos_a") + after)))
+    long = listed(wanted.where(length > SHORT_NAME), "a", least_needed)
+    shift = F.col("pos_b") - F.col("pos_a")
+    feasible = (match <= F.least("len_a", "len_b")) & (shift >= -before) & (shift <= after)
     pairs = (
-        keyed(missing, "a").join(keyed(have, "b"), "key").where(near & (reachable > needed))
-        .where((F.size(F.array_intersect("grams_a", "grams_b")) > needed))
-        .select("name_a", "name_b").distinct()
+        short.join(known, ["g", "len_b", "pos_b"]).where(within & enough).select("name_a", "name_b")
+        .unionByName(long.join(known, "g").where(feasible & within & enough).select("name_a", "name_b")).distinct()
     )
     return pairs.withColumn("ratio", matching_ratio("name_a", "name_b")).where(F.col("ratio") > ratio)
 
