@@ -86,13 +86,6 @@ def _grams(name: Column, size: int) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
-def _numbered_grams(name: Column) -> Column:
-    """Bigrams with their occurrence number, so that sets of them count repeats."""
-    grams = _grams(name, 2)
-    return F.transform(grams, lambda g, i: F.concat(
-        g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
-
-
 @F.pandas_udf(T.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of two names, the missing one first."""
@@ -128,7 +121,7 @@ def _ranked_grams(names: DataFrame, often: DataFrame) -> DataFrame:
     """Each name with its bigrams and their places, rarest first."""
     places = names.select("name", F.posexplode(_grams(F.col("name"), 2)).alias("pos", "g"))
     ranked = places.join(often, "g").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "g", "pos"))).alias("ranked"))
-    return ranked.withColumns({"len": F.length("name"), "grams": _numbered_grams(F.col("name"))})
+    return ranked.withColumns({"len": F.length("name"), "size": F.size("ranked")})
 
 
 def _ratio_pairs(missing: DataFrame, have: DataFrame, ratio: float) -> DataFrame:
@@ -146,9 +139,9 @@ def _ratio_pairs(missing: DataFrame, have: DataFrame, ratio: float) -> DataFrame
     def listed(ranked: DataFrame, side: str, needed: Column) -> DataFrame:
         """One row per key bigram: as many of the rarest as must hold a common one."""
         keys = F.slice("ranked", F.lit(1), F.greatest(F.lit(0), F.size("ranked") - needed + 1))
-        others = [c for c in ranked.columns if c not in ("name", "len", "grams", "ranked")]
+        others = [c for c in ranked.columns if c not in ("name", "len", "size", "ranked")]
         rows = ranked.select(*others, F.col("name").alias(f"name_{side}"), F.col("len").alias(f"len_{side}"),
-                             F.col("grams").alias(f"grams_{side}"), F.posexplode(keys).alias(f"at_{side}", "key"))
+                             F.col("size").alias(f"size_{side}"), F.posexplode(keys).alias(f"at_{side}", "key"))
         return rows.withColumns({"g": F.col("key.g"), f"pos_{side}": F.col("key.pos")}).drop("key")
 
     length = F.col("len")
@@ -159,8 +152,10 @@ def _ratio_pairs(missing: DataFrame, have: DataFrame, ratio: float) -> DataFrame
     total = F.col("len_a") + F.col("len_b")
     match = _least_match(total, ratio)
     before, after = F.col("len_a") - match, F.col("len_b") - match
-    within = (F.col("at_a") <= F.size("grams_a") - _needed(total, ratio)) & (F.col("at_b") <= F.size("grams_b") - _needed(total, ratio))
-    enough = F.size(F.array_intersect("grams_a", "grams_b")) >= _needed(total, ratio)
+    within = (F.col("at_a") <= F.col("size_a") - _needed(total, ratio)) & (F.col("at_b") <= F.col("size_b") - _needed(total, ratio))
+    # Unmatched characters of both names are edits, so the edit distance cannot exceed their number.
+    edits = F.call_function("levenshtein", F.col("name_a"), F.col("name_b"), total - 2 * match)
+    enough = edits >= 0
 
     short = wanted.where(length <= SHORT_NAME).withColumn("len_b", F.explode(partners))
     short = listed(short, "a", _needed(length + F.col("len_b"), ratio))
