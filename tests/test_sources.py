@@ -93,3 +93,18 @@ def test_pin_keeps_rows_in_the_shared_folder(spark, frame):
     assert rows(pinned) == rows(df)
     assert shared_path(spark, "x").startswith(shared_root(spark) + "/")
     assert shared_path(spark, "x") != shared_path(spark, "x")
+
+
+class Unset:
+    """A session as far as the shared folder looks at one, without the setting."""
+
+    def __init__(self, master):
+        self.conf = {}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-" + master})
+
+
+def test_only_local_sessions_may_lack_a_shared_folder():
+    local = Unset("local[2]")
+    assert shared_root(local) == shared_root(local)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(Unset("yarn"))
