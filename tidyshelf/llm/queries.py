@@ -1,4 +1,4 @@
 """Loads the operators' modules, which register their queries."""
 
-from tidyshelf.llm import bpe, language  # noqa: F401
+from tidyshelf.llm import bpe, language, lines  # noqa: F401
 from tidyshelf.llm.common import QUERIES, SQL  # noqa: F401
