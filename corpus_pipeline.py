@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidyshelf.llm.bpe import encode_stage
+from tidyshelf.llm.jaccard import near_stage
 from tidyshelf.llm.language import language_stage
+from tidyshelf.llm.lines import line_stage
+from tidyshelf.llm.mixing import mixing_stage
 from tidyshelf.session import shared_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("near_duplicates", near_stage),
+    ("source_mixing", mixing_stage),
     ("byte_bpe", encode_stage),
 ]
 
