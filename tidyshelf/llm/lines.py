@@ -15,6 +15,8 @@ from tidyshelf.llm.common import fresh, query, table, whole
 from tidyshelf.session import pin
 
 LAST = 2**63 - 1
+#: Values that a document's mark can take; a table of marks never has more rows.
+MARKS = 1 << 20
 
 
 def masked(line: Column) -> Column:
@@ -22,6 +24,10 @@ def masked(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(line, "[0-9]+", "<*>"), r"[ \t\r\f\x0B]+", " "))
 
 
+def mark_of(doc: str) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(MARKS))
+
+
 def template_lines(docs: DataFrame, text: str, doc_id: str, depth: int) -> DataFrame:
     """(doc, body, pos, shape, leaf, key) of each line that is not blank; ``body`` is the hash of the whole text."""
     lines = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(whole(text)).alias("body"),
@@ -43,8 +49,10 @@ def recurring_templates(docs: DataFrame, lines: DataFrame, text: str, doc_id: st
     members = pin(seen.join(leaves, "leaf", "left_semi"), "members")
     # the tokens of each masked line, read from one document that has it
     holders = members.select(F.col("first").alias("doc")).distinct()
-    held = docs.withColumn("__doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))) \
-        .join(holders.withColumnRenamed("doc", "__doc"), "__doc", "left_semi").select(F.col("__doc").alias("doc"), F.col(text).alias("text"))
+    # most documents hold none: at most MARKS marks are broadcast, so that only texts that may be needed are shuffled
+    marks = holders.select(mark_of("doc").alias("mark")).distinct()
+    held = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text")).withColumn("mark", mark_of("doc")) \
+        .join(F.broadcast(marks), "mark", "left_semi").join(holders, "doc", "left_semi").select("doc", "text")
     shapes = template_lines(held, "text", "doc", depth).join(members, ["leaf", "key"]).where("doc = first") \
         .groupBy("leaf", "key").agg(F.first("shape").alias("shape"), F.first("texts").alias("texts"))
     tokens = shapes.select("leaf", "key", "texts", F.posexplode(F.split("shape", " ")).alias("at", "token"))
