@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +42,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole blocks from rows sorted by ``block``: several small ones together, none cut in two."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("block").to_numpy()
+        cut = int(np.searchsorted(ids, ids[-1]))  # the last block may go on
+        if cut or (held and held[-1].column("block")[-1].as_py() != ids[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def fixed(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """One array from a column of binary values of whole numbers of items."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyshelf.llm.common import query, table, whole
+from tidyshelf.llm.common import blocks_of, fixed, query, table, whole
 from tidyshelf.llm.components import components
 from tidyshelf.session import pin
 
@@ -144,26 +144,6 @@ class Stars:
                 self.up[max(i, j)] = min(i, j)
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Whole blocks from rows sorted by ``block``: several small ones together, none cut in two."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = batch.column("block").to_numpy()
-        cut = int(np.searchsorted(ids, ids[-1]))  # the last block may go on
-        if cut or (held and held[-1].column("block")[-1].as_py() != ids[0]):
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def fixed(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
-
 def block_grid(df: DataFrame, group: str, chunk: Column, chunks: str) -> DataFrame:
     """A row for each block that a member takes part in: ``chunk`` against every chunk of its group, itself included."""
     other = F.explode(F.sequence(F.lit(0), F.col(chunks) - 1))
