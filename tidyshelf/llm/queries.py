@@ -1,4 +1,4 @@
 """Loads the operators' modules, which register their queries."""
 
-from tidyshelf.llm import bpe, html, jaccard, language, lines, matroska, mixing, neighbours, shards  # noqa: F401
+from tidyshelf.llm import bpe, html, jaccard, language, licenses, lines, matroska, mixing, neighbours, shards  # noqa: F401
 from tidyshelf.llm.common import QUERIES, SQL  # noqa: F401
