@@ -62,17 +62,30 @@ def test_references(frame):
     assert rows(j.copy_manifest(long, "in/", "out"), "read_path", "write_path")[0] == ("in/a.png", "out/a.png")
 
 
-@pytest.mark.parametrize("small", [0, 50, 1_000_000])
 @pytest.mark.parametrize("kind,make", [("double", lambda i: (i * 37 % 101) / 7 - 3), ("bigint", lambda i: i * i * 7919 % 300007 - 1000),
-                                       ("double", lambda i: 5.0), ("double", lambda i: i * 1e-7)])
-def test_median_equals_statistics(frame, monkeypatch, kind, make, small):
-    monkeypatch.setattr(j, "SMALL_GROUP", small)
+                                       ("double", lambda i: 5.0), ("double", lambda i: i * 1e-7), ("double", lambda i: 1e300 * (i % 5) - 1e-9 * i)])
+def test_median_equals_statistics(frame, kind, make):
     data = [(g, make(i)) for g, size in (("a", 7), ("b", 100), ("c", 1), ("d", 2)) for i in range(size)] + [("a", None), (None, make(1))]
     got = {r.g: r.median for r in j.exact_median(frame(data, f"g string, v {kind}"), "g", "v").collect()}
     want = {g: statistics.median([v for h, v in data if h == g and v is not None]) for g in {g for g, _ in data}}
     assert got == want
 
 
+def test_median_at_the_limits(frame):
+    inf, nan, top = float("inf"), float("nan"), 2 ** 63 - 1
+    data = [("last", v) for v in (1e6, 2e6, 3e6, nan, nan)] + [("inf", v) for v in (-inf, 1.0, inf, inf, nan)] + [("close", v) for v in (1.0, 1.0 + 2 ** -40, 1.0 + 2 ** -30)]
+    got = {r.g: r.median for r in j.exact_median(frame(data, "g string, v double"), "g", "v").collect()}
+    assert got == {"last": 3e6, "inf": inf, "close": 1.0 + 2 ** -40}
+    df = frame([("high", top), ("high", top - 1), ("low", -top), ("low", -top + 1), ("both", top), ("both", -top)], "g string, v bigint")
+    assert {r.g: r.median for r in j.exact_median(df, "g", "v").collect()} == {"high": float(top), "low": float(-top), "both": 0.0}
+
+
+def test_a_path_listed_twice_is_one_size(frame):
+    df = frame([(1, ["a", "b"])], "id int, image array<string>")
+    sizes = frame([("a", 5, 5), ("a", 9, 9), ("b", 7, 7)], "path string, width bigint, height bigint")
+    assert rows(j.choose_one(df, "image", sizes), "id", "chosen", "needs_review") == [(1, "a", False)]
+
+
 def test_band_is_cut_and_bounded(frame):
     df = frame([("a", 100.0), ("b", 250.0), ("c", -5.0)], "g string, v double")
     want = [(g, int(max(0, (1.0 - 0.33) * m)), int(min(255, (1.0 + 0.33) * m))) for g, m in (("a", 100.0), ("b", 250.0), ("c", -5.0))]

@@ -54,3 +54,9 @@ def test_mapped_join(frame):
 def test_chain_tables(frame):
     out = m.chain_tables(a=frame([(1,)], "x int"), b=frame([(2, "y")], "x int, z string"))
     assert rows(out, "x", "z", "table") == [(1, None, "a"), (2, "y", "b")]
+
+
+def test_a_mapping_key_listed_twice_does_not_double_the_file(frame):
+    files = frame([("x/k.png",)], "path string")
+    mapping = frame([("k", "first", 0), ("k", "last", 1)], "key string, value string, pos int")
+    assert rows(m.match_files(files, mapping), "path", "name") == [("x/k.png", "last")]

@@ -54,6 +54,45 @@ def test_add_ids_only_when_no_row_has_one(frame):
     assert rows(k.add_ids(partly, "key")) == [(5, None), (9, 1)]
 
 
+@SLOW
+@given(st.lists(st.one_of(st.none(), st.integers(-2**40, 2**40)), min_size=1, max_size=30, unique_by=lambda v: v if v is not None else object()))
+def test_no_row_is_lost_and_ids_are_dense(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "key bigint")
+    got = sorted((r.id, r.key) for r in k.add_ids(df, "key").collect())
+    assert [i for i, _ in got] == list(range(len(values)))
+    assert [v for _, v in got] == [None] * values.count(None) + sorted(v for v in values if v is not None)
+
+
+def test_null_key_is_merged_and_kept(frame):
+    df = frame([("a", "x", 1), (None, "y", 2), (None, "z", 0), ("a", "w", 5), (None, "y", 9)], "key string, v string, n int")
+    assert rows(k.dedup_merge(df, "key", ["v"], "n")) == [("a", ["x", "w"], 1), (None, ["z", "y"], 0)]
+    assert rows(k.dedup_first(df, ["key"], "n")) == [("a", "x", 1), (None, "z", 0)]
+
+
+def test_dedup_plans_have_no_sort_aggregate(frame):
+    df = frame([("a", "x", 1)], "key string, v string, n int")
+    for out in (k.dedup_merge(df, "key", ["v"], "n"), k.dedup_first(df, ["key"], "n")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("distance", range(5))
+def test_64_bits_at_every_distance(frame, distance):
+    top = -2 ** 63
+    hashes = [0, top, top | 1, 1, 7, 15, -1, -2 ** 62, 2 ** 62]
+    df = frame([(h, i) for i, h in enumerate(hashes)], "hash bigint, n int")
+    got = {(r.hash_a, r.hash_b, r.distance) for r in s.near_duplicates(df, "hash", "n", 64, distance).collect()}
+    apart = lambda a, b: bin((a ^ b) & (2 ** 64 - 1)).count("1")
+    assert got == {(a, b, apart(a, b)) for a in hashes for b in hashes if a < b and apart(a, b) <= distance}
+
+
+def test_a_grid_of_more_than_64_pairs_is_an_error(frame):
+    df = frame([([float(i) for i in range(66)],)], "grid array<double>")
+    with pytest.raises(Exception, match="64 pairs"):
+        df.select(s.dhash(F.col("grid"), 66)).collect()
+    assert df.select(s.dhash(F.slice("grid", 1, 65), 65)).first()[0] == -1
+
+
 def test_hash_encoding_keeps_lookalikes_apart(frame):
     df = frame([(1, "a|1:b", "c"), (2, "a", "b|1:c"), (3, None, "x"), (4, "None", "x"), (5, "null", "x")], "id int, a string, b string")
     hashed = k.add_hash(df, exclude=["id"])

@@ -49,6 +49,14 @@ def test_overrides_beat_valid_values_even_with_null(frame):
     assert rows(q.apply_overrides(df, memory, "cards", "cost", "id")) == [(1, 9), (2, None), (3, None)]
 
 
+def test_repeated_and_unfit_answers(frame):
+    df = frame([(1, 5), (2, 6), (3, None)], "id int, cost int")
+    memory = frame([("cards", "cost", "1", "9", 1), ("cards", "cost", "1", "8", 2), ("cards", "cost", "2", "abc", 1), ("cards", "cost", "3", "4", 1), ("cards", "cost", "3", None, 2)],
+                   "source string, field string, pk string, value string, version int")
+    assert rows(q.apply_overrides(df, memory, "cards", "cost", "id", bad="bad")) == [(1, 8, False), (2, 6, True), (3, None, False)]
+    assert rows(q.apply_overrides(df, memory.drop("version"), "cards", "cost", "id")) == [(1, 9), (2, 6), (3, 4)]
+
+
 def test_append_choices(frame):
     df = frame([(1, ["a"]), (2, None), (3, ["x"]), (4, ["k", "k"])], "id int, tags array<string>")
     answers = frame([(1, 0, "b"), (1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 0, "z"), (3, 0, "y"), (3, 1, None), (3, 2, "w"), (4, 0, "k")],

@@ -122,10 +122,13 @@ def choose_one(records: DataFrame, col: str, sizes: DataFrame, path: str = "path
     """Pick one of a list of candidate images, or flag the row for review.
 
     A single candidate is taken; of several, the first when it is larger than the second in both
-    directions. Sizes are joined for these two candidates only.
+    directions. Sizes are joined for these two candidates only; of a path listed more than once, its
+    largest width and height count.
     """
+    unique = sizes.groupBy(path).agg(F.max("width").alias("width"), F.max("height").alias("height"))
+
     def size_of(side: str) -> DataFrame:
-        return sizes.select(F.col(path).alias(f"_{side}"), F.col("width").alias(f"_{side}w"), F.col("height").alias(f"_{side}h"))
+        return unique.select(F.col(path).alias(f"_{side}"), F.col("width").alias(f"_{side}w"), F.col("height").alias(f"_{side}h"))
 
     several = F.size(col) > 1
     rows = records.withColumns({"_a": F.when(several, F.get(col, F.lit(0))), "_b": F.when(several, F.get(col, F.lit(1)))})
@@ -158,51 +161,38 @@ def copy_manifest(images: DataFrame, read_root: str, write_root: str, path: str
         "write_path": F.concat_ws("/", F.lit(write_root.rstrip("/")), path)})
 
 
-# Groups with at most this many distinct values are ranked in one window each.
-SMALL_GROUP = 1_000_000
-# Bin widths by which the median of a larger group is closed in on, coarse to fine.
+# Bin widths by which a median is closed in on, coarse to fine.
 MEDIAN_BINS = (2.0 ** 16, 1.0, 2.0 ** -16)
+LAST_BIN = 2 ** 63 - 1
 
 
 def exact_median(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Median per group as ``(by, median)``, the mean of the two middle values.
+    """Median per group as ``(by, median)``, the mean of the two middle values, as a double.
 
-    Equal values are counted first, and the counts pinned. Groups of few distinct values are ranked
-    directly. For the others, of which there can only be few, the middle ranks are followed from wide
-    bins to narrow ones by the bins' totals, so that a window never spans more than the bins inside
-    one wider bin and no task holds a whole group.
+    Equal values are counted first, and the counts pinned. The middle ranks are then followed from wide bins to
+    narrow ones by the bins' totals, so that a window never spans more than the bins inside one wider
+    bin and no task holds a whole group. Nulls are left out; NaN is above all other values.
     """
     g, v = F.col(by).alias("_g"), F.col(value).alias("_v")
     counts = pin(df.where(F.col(value).isNotNull()).groupBy(g, v).agg(F.count("*").alias("_n")), "values")
-    large = counts.groupBy(F.col("_g").alias("_lg")).agg(F.count("*").alias("_distinct")).where(F.col("_distinct") > SMALL_GROUP)
-    is_large = F.col("_g").eqNullSafe(F.col("_lg"))
     integral = isinstance(df.schema[value].dataType, T.IntegralType)
-    medians = _ranked_middle(counts.join(large, is_large, "left_anti")).unionByName(
-        _narrowed_middle(counts.join(large, is_large, "left_semi"), [w for w in MEDIAN_BINS if w >= 1 or not integral]))
-    return medians.select(F.col("_g").alias(by), "median")
-
-
-def _middle_ranks(total: Column) -> tuple[Column, Column]:
-    return F.floor((total + 1) / 2), F.floor(total / 2) + 1
+    return _narrowed_middle(counts, [w for w in MEDIAN_BINS if w >= 1 or not integral], integral).select(F.col("_g").alias(by), "median")
 
 
-def _ranked_middle(counts: DataFrame) -> DataFrame:
-    """Medians by one running total per group."""
-    group = Window.partitionBy("_g")
-    up_to = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    rows = counts.withColumns({"_upto": F.sum("_n").over(up_to), "_all": F.sum("_n").over(group)})
-    low, high = _middle_ranks(F.col("_all"))
-    middle = rows.where((F.col("_upto") >= low) & (F.col("_upto") - F.col("_n") < high))
-    return middle.groupBy("_g").agg(((F.min("_v") + F.max("_v")) / 2).alias("median"))
+def _bin(width: float, integral: bool) -> Column:
+    """Number of the bin of a value; never falls as the value grows."""
+    if integral:
+        return F.shiftright(F.col("_v").cast("bigint"), int(width).bit_length() - 1)
+    return F.when(F.isnan("_v"), F.lit(LAST_BIN)).otherwise(F.floor(F.col("_v").cast("double") / F.lit(width)))
 
 
-def _narrowed_middle(counts: DataFrame, widths: Sequence[float]) -> DataFrame:
+def _narrowed_middle(counts: DataFrame, widths: Sequence[float], integral: bool) -> DataFrame:
     """Medians by following the middle ranks through bins of falling width."""
-    ranks = F.array_distinct(F.array(*_middle_ranks(F.col("_all"))))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
     targets = counts.groupBy(F.col("_g").alias("_tg")).agg(F.sum("_n").alias("_all")).select(
-        "_tg", F.explode(ranks).alias("_rank"), F.lit(0).cast("bigint").alias("_before"))
+        "_tg", F.explode(F.array_distinct(F.array(low, high))).alias("_rank"), F.lit(0).cast("bigint").alias("_before"))
     wider = None
-    for step in [F.floor(F.col("_v") / F.lit(w)) for w in widths] + [F.col("_v")]:
+    for step in [_bin(w, integral) for w in widths] + [F.col("_v")]:
         inside = F.col("_g").eqNullSafe(F.col("_tg"))
         if wider is not None:
             inside = inside & (wider == F.col("_tbin"))
@@ -214,7 +204,8 @@ def _narrowed_middle(counts: DataFrame, widths: Sequence[float]) -> DataFrame:
         targets = bins.where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))).select(
             F.col("_g").alias("_tg"), "_rank", (F.col("_upto") - F.col("_n")).alias("_before"), F.col("_bin").alias("_tbin"))
         wider = step
-    return targets.groupBy(F.col("_tg").alias("_g")).agg(((F.min("_tbin") + F.max("_tbin")) / 2).alias("median"))
+    middle = (F.min("_tbin").cast("double") + F.max("_tbin").cast("double")) / 2
+    return targets.groupBy(F.col("_tg").alias("_g")).agg(middle.alias("median"))
 
 
 def median_band(df: DataFrame, by: str, value: str, sigma: float = 0.33, floor: float = 0, ceiling: float = 255) -> DataFrame:

@@ -16,15 +16,19 @@ from tidyshelf.operators.ordering import number_by_key, number_sorted
 def add_ids(df: DataFrame, *order: str, initial: int = -1, id_col: str = "id") -> DataFrame:
     """Dense ids ``initial + 1 ...`` in row order as the first column.
 
-    Nothing happens when any row has an id already. A single integer order column must be unique;
-    several columns should end with a unique one.
+    Nothing happens when any row has an id already. A single integer order column must be unique but
+    for nulls, which come first, in arrival order; several columns should end with a unique one.
     """
     if id_col in df.columns:
         if not df.where(F.col(id_col).isNotNull()).isEmpty():
             return df
         df = df.drop(id_col)
     if len(order) == 1 and isinstance(df.schema[order[0]].dataType, T.IntegralType):
-        numbered = number_by_key(df, order[0], id_col, initial + 1)
+        if df.where(F.col(order[0]).isNull()).isEmpty():
+            numbered = number_by_key(df, order[0], id_col, initial + 1)
+        else:  # null is no unique key; the arrival number keeps many of them apart
+            arrived = df.withColumn("_arrival", F.monotonically_increasing_id())
+            numbered = number_sorted(arrived, order[0], "_arrival", name=id_col, start=initial + 1)
     else:
         numbered = number_sorted(df, *order, name=id_col, start=initial + 1)
     return numbered.select(id_col, *df.columns)
@@ -55,10 +59,20 @@ def duplicate_hashes(df: DataFrame, key: str = "hash") -> DataFrame:
 
 
 def dedup_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The first row per key; null equals null. Map-side combined, so hot keys shrink before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.col(order)).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
+    """The first row per key; null equals null. ``order`` differs between the rows of a key; rows that tie all stay.
+
+    Only keys and orders are aggregated, by hash and map-side combined; the rows themselves are joined
+    back once, by key and order, so a hot key spreads over its orders.
+    """
+    return _at(df, keys, order, df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(order).alias("_o"))).select(*df.columns)
+
+
+def _at(df: DataFrame, keys: Sequence[str], order: str, first: DataFrame) -> DataFrame:
+    """The rows of ``df`` at ``(_k0 ..., _o)``, with all columns of both."""
+    same = F.col(order).eqNullSafe(F.col("_o"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(first, same)
 
 
 def merged_values(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -72,16 +86,23 @@ def merged_values(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
 def dedup_merge(df: DataFrame, key: str, collect: Sequence[str], order: str) -> DataFrame:
     """One row per key, the first, with the named columns as lists of distinct values in first-seen order.
 
-    Values are made distinct by a first aggregation before any list is built, so a list is as long
-    as the result it becomes. For columns with a value per row use ``merged_values``.
+    Values of all lists are made distinct by one aggregation before any list is built, so a list is as
+    long as the result it becomes, and the first order of a key is the least among them. A null key is a key.
+    For columns with a value per row use ``merged_values``.
     """
-    merged = dedup_first(df, [key], order).drop(*collect)
-    for name in collect:
-        seen = F.array_sort(F.collect_list(F.struct("first_seen", F.col(name).alias("v"))))
-        lists = merged_values(df, key, name, order).groupBy(key).agg(
-            F.transform(seen, lambda s: s["v"]).alias(name))
-        merged = merged.join(lists, key)
-    return merged.select(*df.columns)
+    kinds = {c: df.schema[c].dataType for c in collect}
+    one_each = [F.struct(F.lit(i).alias("_c"), *[(F.col(c) if j == i else F.lit(None)).cast(kinds[c]).alias(f"_v{j}") for j, c in enumerate(collect)])
+                for i in range(len(collect))]
+    values = df.select(F.col(key).alias("_k0"), F.col(order).alias("_o"), F.inline(F.array(*one_each)))
+    seen = values.groupBy("_k0", "_c", *[f"_v{j}" for j in range(len(collect))]).agg(F.min("_o").alias("_o"))
+
+    def listed(i: int) -> Column:
+        held = F.collect_list(F.when(F.col("_c") == i, F.struct("_o", F.col(f"_v{i}").alias("v"))))
+        return F.transform(F.array_sort(held), lambda s: s["v"]).alias(f"_l{i}")
+
+    lists = seen.groupBy("_k0").agg(F.min("_o").alias("_o"), *[listed(i) for i in range(len(collect))])
+    out = _at(df.drop(*collect), [key], order, lists)
+    return out.select(*[F.col(f"_l{list(collect).index(c)}").alias(c) if c in collect else F.col(c) for c in df.columns])
 
 
 def content_hash(content: Column, bits: int = 512) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidyshelf.functions.text import file_stem
 from tidyshelf.operators.keys import add_ids
+from tidyshelf.session import pin
 
 UNRESOLVED = "unresolved"
 
@@ -22,7 +23,7 @@ def resolve_fk(facts: DataFrame, dim: DataFrame, name: str, dim_name: str, order
 
     ``unresolved`` marks facts that hold a name without a match.
     """
-    numbered = add_ids(dim.select(dim_name, order), order, initial=initial, id_col=out)
+    numbered = add_ids(pin(dim.select(dim_name, order), "dimension"), order, initial=initial, id_col=out)
     ids = numbered.groupBy(F.col(dim_name).alias(name)).agg(F.max(out).alias(out))
     return facts.join(ids, name, "left").withColumn(UNRESOLVED, F.col(name).isNotNull() & F.col(out).isNull())
 
@@ -43,7 +44,7 @@ def extract_dimension(facts: DataFrame, name: str, source: str, order: str, init
     if existing is not None:
         known = existing.select(F.col("name").alias("_known"))
         first = first.join(known, F.col("name").eqNullSafe(F.col("_known")), "left_anti")
-    new = add_ids(first, "_seen", initial=initial).select("id", "name", "source")
+    new = add_ids(pin(first, "names"), "_seen", initial=initial).select("id", "name", "source")
     return new if existing is None else existing.select("id", "name", "source").unionByName(new)
 
 
@@ -89,9 +90,13 @@ def domain_check(facts: DataFrame, dim: DataFrame, col: str, key: str, out: str
 
 
 def match_files(files: DataFrame, mapping: DataFrame, path: str = "path") -> DataFrame:
-    """File path -> name: the stem of the file, mapped by ``(key, value)`` when it has an entry."""
+    """File path -> name: the stem of the file, mapped by ``(key, value)`` when it has an entry.
+
+    Of a key with several values the last counts, by ``pos`` if the mapping has it, else by value.
+    """
     stem = file_stem(F.substring_index(F.col(path), "/", -1))
-    entry = mapping.select(F.col("key").alias("_stem"), F.col("value").alias("_mapped"))
+    last = F.max_by("value", "pos") if "pos" in mapping.columns else F.max("value")
+    entry = mapping.groupBy(F.col("key").alias("_stem")).agg(last.alias("_mapped"))
     return (
         files.withColumn("_stem", stem).join(entry, "_stem", "left")
         .withColumn("name", F.coalesce("_mapped", "_stem")).drop("_stem", "_mapped")

@@ -23,16 +23,21 @@ class Rule(NamedTuple):
     valid: Column
 
 
-def apply_overrides(df: DataFrame, overrides: DataFrame, source: str, field: str, pk: str) -> DataFrame:
-    """A remembered answer replaces the value, a valid one too, and also when the answer is null."""
-    answers = overrides.where((F.col("source") == source) & (F.col("field") == field)).select(
-        F.col("pk").alias("_pk"), F.col("value").alias("_answer"), F.lit(True).alias("_hit"))
-    answer = F.col("_answer").cast(df.schema[field].dataType)
-    return (
-        df.join(answers, F.col(pk).cast("string") == F.col("_pk"), "left")
-        .withColumn(field, F.when(F.col("_hit"), answer).otherwise(F.col(field)))
-        .drop("_pk", "_answer", "_hit")
-    )
+def apply_overrides(df: DataFrame, overrides: DataFrame, source: str, field: str, pk: str, bad: str | None = None) -> DataFrame:
+    """A remembered answer replaces the value, a valid one too, and also when the answer is null.
+
+    Of several answers under one key the last counts, by ``version`` if the memory has it, else the greatest value; a null
+    among those without version never wins. An answer that does not fit the field's type leaves the value as it is and sets ``bad``.
+    """
+    last = F.max_by(F.struct("value"), F.col("version")) if "version" in overrides.columns else F.struct(F.max("value").alias("value"))
+    answers = overrides.where((F.col("source") == source) & (F.col("field") == field)).groupBy(F.col("pk").alias("_pk")).agg(
+        last["value"].alias("_answer"), F.lit(True).alias("_hit"))
+    answer = F.col("_answer").try_cast(df.schema[field].dataType)
+    fits = F.col("_hit") & (F.col("_answer").isNull() | answer.isNotNull())
+    rows = df.join(answers, F.col(pk).cast("string") == F.col("_pk"), "left").withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    out = rows.select(*[F.when(F.col("_fits"), answer).otherwise(F.col(field)).alias(field) if c == field else F.col(c) for c in df.columns],
+                      (F.coalesce(F.col("_hit"), F.lit(False)) & ~F.col("_fits")).alias(bad or "_bad"))
+    return out if bad else out.drop("_bad")
 
 
 def append_choices(df: DataFrame, answers: DataFrame, pk: str, field: str, order: str, answer: str,

@@ -32,6 +32,14 @@ def d1_sorted(spark, sf):
     return k.add_ids(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand"), "p_name", "p_brand", "p_partkey")
 
 
+@query("d1_add_ids_null_order", """
+    SELECT row_number() OVER (ORDER BY l.doc_id NULLS FIRST) - 1 AS id, l.doc_id AS label_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def d1_nulls(spark, sf):
+    """Documents in the order of their label; those without one come first and all get an id."""
+    docs, labels = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select(F.col("doc_id").alias("label_id"))
+    return k.add_ids(docs.join(labels, F.col("doc_id") == F.col("label_id"), "left").select("label_id"), "label_id")
+
+
 @query("d2_max_ids", " UNION ALL ".join(
     f"SELECT '{t}' AS \"table\", CAST(max({ID_COLUMNS[t]}) AS BIGINT) AS max_id FROM {t}" for t in TABLES))
 def d2(spark, sf):
@@ -79,17 +87,28 @@ def d5(spark, sf):
     return merged.select("doc_id", "hash", "n_chars", F.array_join("source", ",").alias("sources"), F.array_join("lang", ",").alias("langs"))
 
 
+@query("d5_dedup_merge_null_key", f"""
+    WITH h AS (SELECT d.doc_id, source, n_chars, CASE WHEN toxic IS NOT NULL THEN hash END AS hash FROM ({HASHED_SQL}) d LEFT JOIN labels USING (doc_id)),
+    s AS (SELECT hash, source, min(doc_id) AS seen FROM h GROUP BY hash, source),
+    l AS (SELECT hash, string_agg(source, ',' ORDER BY seen) AS sources FROM s GROUP BY hash)
+    SELECT doc_id, h.hash, n_chars, sources FROM h JOIN l ON h.hash IS NOT DISTINCT FROM l.hash
+    QUALIFY row_number() OVER (PARTITION BY h.hash ORDER BY doc_id) = 1""")
+def d5_nulls(spark, sf):
+    """Only labelled documents have a key; the others are one group."""
+    docs = hashed(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
+    docs = docs.select("doc_id", F.when(F.col("toxic").isNotNull(), F.col("hash")).alias("hash"), "n_chars", "source")
+    return k.dedup_merge(docs, "hash", ["source"], "doc_id").withColumnRenamed("source", "sources").withColumn("sources", F.array_join("sources", ","))
+
+
 @query("d5_merged_values", f"SELECT hash, source, min(doc_id) AS first_seen FROM ({HASHED_SQL}) GROUP BY hash, source")
 def d5_long(spark, sf):
     return k.merged_values(hashed(spark, sf), "hash", "source", "doc_id")
 
 
 @query("d6_dedup_first", """
-    SELECT user_id, event_type, event_id, value, props FROM events
-    QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1""")
+    SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1""")
 def d6(spark, sf):
-    events = table(spark, sf, "events").drop("ts")
-    return k.dedup_first(events, ["user_id", "event_type"], "event_id")
+    return k.dedup_first(table(spark, sf, "events"), ["user_id", "event_type"], "event_id")
 
 
 @query("d7_drop_known_content", """
@@ -139,13 +158,43 @@ def d9(spark, sf):
     return embedding_hashes(spark, sf).withColumn("hex", similar.hex_hash(F.col("hash"), GRID_BITS))
 
 
+def wide_hashes(spark, sf):
+    """All 64 pairs of a grid nine wide: the embedding and its first row once more."""
+    grid = F.concat("embedding", F.slice("embedding", 1, GRID_ROWS))
+    return table(spark, sf, "embeddings").select("vec_id", similar.dhash(grid, GRID_WIDTH + 1).alias("hash"))
+
+
+_WIDE = [(r * 9 + i, r * 9 + i + 1) for r in range(8) for i in range(8)]
+WIDE_SQL = "SELECT vec_id, CAST(" + " + ".join(
+    f"CASE WHEN g[{b + 1}] > g[{a + 1}] THEN {'-' if n == 0 else ''}{1 << (63 - n)}::HUGEINT ELSE 0 END"
+    for n, (a, b) in enumerate(_WIDE)) + " AS BIGINT) AS hash FROM (SELECT vec_id, list_concat(embedding, embedding[1:8]) AS g FROM embeddings)"
+
+
+@query("d9_dhash_wide", WIDE_SQL)
+def d9_wide(spark, sf):
+    return wide_hashes(spark, sf)
+
+
+def block_hashes(spark, sf):
+    """A short hash of the means of the grid's blocks of two by two."""
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    blocks = [(at(16 * r + 2 * i) + at(16 * r + 2 * i + 1) + at(16 * r + 2 * i + 8) + at(16 * r + 2 * i + 9)) / 4 for r in range(4) for i in range(4)]
+    return table(spark, sf, "embeddings").select("vec_id", similar.dhash(F.array(*blocks), 4).alias("hash"))
+
+
+_MEANS = [" + ".join(f"embedding[{16 * r + 2 * i + k + 1}]::DOUBLE" for k in (0, 1, 8, 9)) for r in range(4) for i in range(4)]
+BLOCK_SQL = "SELECT vec_id, " + " + ".join(
+    f"CASE WHEN ({_MEANS[r * 4 + i + 1]}) / 4 > ({_MEANS[r * 4 + i]}) / 4 THEN {1 << (11 - 3 * r - i)} ELSE 0 END"
+    for r in range(4) for i in range(3)) + " AS hash FROM embeddings"
+
+
 @query("d9_near_duplicates", f"""
-    WITH g AS (SELECT CAST(hash AS BIGINT) AS hash, count(*) AS copies, min(vec_id) AS first FROM ({DHASH_SQL}) GROUP BY hash)
+    WITH g AS (SELECT CAST(hash AS BIGINT) AS hash, count(*) AS copies, min(vec_id) AS first FROM ({BLOCK_SQL}) GROUP BY hash)
     SELECT a.hash AS hash_a, b.hash AS hash_b, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance,
            a.copies AS copies_a, a.first AS first_a, b.copies AS copies_b, b.first AS first_b
     FROM g a JOIN g b ON a.hash < b.hash AND bit_count(xor(a.hash, b.hash)) <= 2""")
 def d9_near(spark, sf):
-    return similar.near_duplicates(embedding_hashes(spark, sf), "hash", "vec_id", GRID_BITS, 2)
+    return similar.near_duplicates(block_hashes(spark, sf), "hash", "vec_id", 12, 2)
 
 
 @query("e1_resolve_fk", """
@@ -159,6 +208,30 @@ def e1(spark, sf):
     return m.resolve_fk(parts.drop("p_type"), dim, "p_brand", "p_brand", "p_partkey", "brand_id")
 
 
+@query("e1_resolve_fk_null_order", """
+    WITH d AS (SELECT p_brand, row_number() OVER (ORDER BY CASE WHEN p_partkey % 7 > 0 THEN p_partkey END NULLS FIRST) - 1 AS id FROM part WHERE p_type = 'PROMO'),
+    i AS (SELECT p_brand, max(id) AS brand_id FROM d GROUP BY p_brand)
+    SELECT p_partkey, p_brand, brand_id, brand_id IS NULL AS unresolved FROM part LEFT JOIN i USING (p_brand)""")
+def e1_nulls(spark, sf):
+    """Every seventh part has no place in the order; its brand is known all the same."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
+    dim = parts.where("p_type = 'PROMO'").select("p_brand", F.when(F.col("p_partkey") % 7 > 0, F.col("p_partkey")).alias("place"))
+    return m.resolve_fk(parts.drop("p_type"), dim, "p_brand", "p_brand", "place", "brand_id")
+
+
+@query("e2_extract_dimension_null_order", """
+    WITH n AS (SELECT p_name AS name, min(p_partkey) AS seen, arg_min(p_type, p_partkey) AS source FROM part
+               WHERE p_name <> (SELECT max(p_name) FROM part) GROUP BY p_name
+               UNION ALL SELECT max(p_name), NULL, NULL FROM part)
+    SELECT row_number() OVER (ORDER BY seen NULLS FIRST) - 1 AS id, name, source FROM n""")
+def e2_nulls(spark, sf):
+    """The parts of the last name have no place in the order."""
+    parts = table(spark, sf, "part")
+    last = parts.agg(F.max("p_name")).scalar()
+    place = F.when(F.col("p_name") != last, F.col("p_partkey"))
+    return m.extract_dimension(parts.withColumn("place", place), "p_name", "p_type", "place")
+
+
 DIM_SQL = """
     WITH old AS (SELECT row_number() OVER (ORDER BY min(p_partkey)) - 1 AS id, p_name AS name, arg_min(p_type, p_partkey) AS source
                  FROM part WHERE p_type = 'ECONOMY' GROUP BY p_name),
@@ -188,9 +261,11 @@ def e2_link(spark, sf):
     SELECT DISTINCT source AS source_id, 'documents' AS content_type, content_id FROM h JOIN f USING (hash)
     UNION ALL SELECT p_brand, 'part', p_partkey FROM part""")
 def e3(spark, sf):
-    """Merged documents bring lists of keys, parts a single one."""
-    merged = k.dedup_merge(hashed(spark, sf).select("doc_id", "hash", "source"), "hash", ["source"], "doc_id")
-    bridge = m.bridge_table(merged, "source", "documents", "doc_id")
+    """Merged documents bring a row for each key of theirs, parts a single one."""
+    docs = hashed(spark, sf).select("doc_id", "hash", "source")
+    values = k.merged_values(docs, "hash", "source", "doc_id")
+    first = values.groupBy("hash").agg(F.min("first_seen").alias("doc_id"))
+    bridge = m.bridge_table(values.join(first, "hash"), "source", "documents", "doc_id")
     return m.bridge_table(table(spark, sf, "part"), "p_brand", "part", "p_partkey", bridge=bridge)
 
 
@@ -211,16 +286,19 @@ def e5(spark, sf):
 SQUEEZE = "lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
 
 
-@query("e6_mapped_join", f"""
-    WITH r AS (SELECT c_custkey, {SQUEEZE.format('c_name')} AS name, 'large/' || c_mktsegment || '.png' AS image FROM customer),
+E6_SQL = """
+    WITH r AS (SELECT c_custkey, {0} AS name, 'large/' || c_mktsegment || '.png' AS image FROM customer),
     f AS (SELECT 'raw/' || o_orderpriority || '/' || CASE o_orderstatus WHEN 'F' THEN 'cust-' || o_custkey WHEN 'P' THEN 'lost-' || o_orderkey
                  ELSE 'customer' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') END || '.' || o_orderkey || '.png' AS path FROM orders),
     s AS (SELECT path, string_split(string_split(path, '/')[-1], '.')[1] AS stem FROM f),
-    n AS (SELECT path, coalesce({SQUEEZE.format('c_name')}, stem) AS name FROM s LEFT JOIN customer ON stem = 'cust-' || c_custkey)
-    SELECT c_custkey, image, false AS added FROM r
-    UNION ALL SELECT c_custkey, path, true FROM n LEFT JOIN r USING (name)""")
+    n AS (SELECT path, coalesce({0}, stem) AS name FROM s LEFT JOIN customer ON stem = 'cust-' || c_custkey),
+    long AS (SELECT c_custkey, image, false AS added FROM r
+             UNION ALL SELECT c_custkey, path, true FROM n LEFT JOIN r USING (name)) """
+
+
+@query("e6_mapped_join", E6_SQL.format(SQUEEZE.format("c_name")) + "SELECT c_custkey, image, added FROM long")
 def e6(spark, sf):
-    """Order files under three kinds of names; one kind needs the mapping, one belongs to no record."""
+    """Order files under three kinds of names; one kind needs the mapping, which lists some keys twice, one belongs to no record."""
     customers = table(spark, sf, "customer")
     records = customers.select("c_custkey", canonical_name(customers, "c_name").alias("name"),
                                F.concat(F.lit("large/"), "c_mktsegment", F.lit(".png")).alias("image"))
@@ -231,7 +309,13 @@ def e6(spark, sf):
             .otherwise(F.concat(F.lit("customer"), F.lpad(number, 9, "0"))))
     files = table(spark, sf, "orders").select(
         F.concat(F.lit("raw/"), "o_orderpriority", F.lit("/"), stem, F.lit("."), key, F.lit(".png")).alias("path"))
-    return m.mapped_join(records, mapping, files, "name", "c_custkey", "image")
+    return m.mapped_join(records, mapping.unionByName(mapping.where("endswith(key, '7')").withColumn("value", F.lit(""))), files, "name", "c_custkey", "image")
+
+
+@query("e6_fold_images", E6_SQL.format(SQUEEZE.format("c_name")) + """
+    SELECT c_custkey, string_agg(image, ',' ORDER BY added, image) AS images FROM long WHERE c_custkey IS NOT NULL GROUP BY c_custkey""")
+def e6_fold(spark, sf):
+    return m.fold_images(e6(spark, sf), "c_custkey").withColumn("images", F.array_join("images", ","))
 
 
 @query("e7_chain_tables", """
@@ -257,6 +341,19 @@ def f1(spark, sf):
     return q.apply_overrides(guess, answers, "documents", "quality", "doc_id")
 
 
+@query("f1_apply_overrides_repeated", """
+    SELECT doc_id, CASE WHEN l.doc_id IS NOT NULL AND toxic = 0 THEN quality ELSE CAST(n_chars > 2000 AS INTEGER) END AS quality,
+           l.doc_id IS NOT NULL AND toxic = 1 AS bad FROM documents LEFT JOIN labels l USING (doc_id)""")
+def f1_repeated(spark, sf):
+    """Each label answered twice, the second time right; what toxic documents got in the end is no number."""
+    guess = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") > 2000).cast("int").alias("quality"))
+    final = F.when(F.col("toxic") == 1, "abc").otherwise(F.col("quality").cast("string"))
+    answers = table(spark, sf, "labels").select(
+        F.lit("documents").alias("source"), F.lit("quality").alias("field"), F.col("doc_id").cast("string").alias("pk"),
+        F.inline(F.array(F.struct(F.lit("9").alias("value"), F.lit(1).alias("version")), F.struct(final.alias("value"), F.lit(2).alias("version")))))
+    return q.apply_overrides(guess, answers, "documents", "quality", "doc_id", bad="bad")
+
+
 def raw_answers(spark, sf):
     """Event values as typed text: null tokens, texts that are no numbers, padded and plain numbers."""
     number, kind = F.get_json_object("props", "$.k"), F.col("event_type")

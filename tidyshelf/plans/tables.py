@@ -223,20 +223,29 @@ def b10(spark, sf):
     return f.subset(labelled(spark, sf), predicate, "quality").select("doc_id", "quality")
 
 
+def file_places(spark, rows):
+    """Write the rows as they are sorted and number them as they lie in the files."""
+    folder = shared_path(spark, "in-order")
+    rows.write.parquet(folder)
+    back = spark.read.schema(rows.schema).parquet(folder)
+    back = back.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return o.number_sorted(back, "_file", "_row", name="place").drop("_file", "_row")
+
+
 @query("c1_sort_rows", """
     SELECT c_custkey, c_mktsegment, c_nationkey,
            row_number() OVER (ORDER BY c_mktsegment NULLS FIRST, c_nationkey NULLS FIRST, c_custkey) - 1 AS place FROM customer""")
 def c1(spark, sf):
-    """The sort shown by each row's dense place."""
+    """The sort shown by each row's place in the files it was written to."""
     rows = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    return o.number_sorted(rows, "c_mktsegment", "c_nationkey", "c_custkey", name="place")
+    return file_places(spark, o.sort_rows(rows, "c_mktsegment", "c_nationkey", seq="c_custkey"))
 
 
 @query("c2_sort_rows_by", """
     SELECT doc_id, n_chars, row_number() OVER (ORDER BY length(text) % 97, doc_id) - 1 AS place FROM documents""")
 def c2(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "n_chars", (F.length("text") % 97).alias("key"))
-    return o.number_sorted(rows, F.col("key").asc_nulls_first(), "doc_id", name="place").drop("key")
+    rows = table(spark, sf, "documents").select("doc_id", "n_chars", F.length("text").alias("size"))
+    return file_places(spark, o.sort_rows_by(rows, F.col("size") % 97, seq="doc_id")).drop("size")
 
 
 @query("c3_sort_array_column", """
