@@ -23,12 +23,13 @@ FULL = 200_000
 
 
 def subdivide(rows: DataFrame, round_: int, sample: int, ranges: int) -> DataFrame:
-    """``rows`` (key, path, room and more), each path lengthened by the number of its part of the range.
+    """``rows`` (key, path, room, members and more), each path lengthened by the number of its part of the range.
 
-    ``room`` is the range's size. A record's chance to be drawn is its part of it, times ``sample``; one with a chance over
-    1 is drawn and weighs as much. Quantiles of the weighted sample are the splitters, at most a little over ``ranges``.
+    ``room`` and ``members`` are the range's size and its number of records. A record's chance to be drawn is the mean of its
+    parts of both, times ``sample``, so that neither many small records nor few large ones stay together; one with a
+    chance over 1 is drawn and weighs as much. Quantiles of the weighted sample are the splitters, at most a little over ``ranges``.
     """
-    chance = F.col("size") * F.lit(float(sample)) / F.col("room")
+    chance = F.lit(sample / 2) * (F.col("size") / F.col("room") + F.lit(1.0) / F.col("members"))
     draw = F.pmod(F.xxhash64("key", F.lit(round_)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     drawn = rows.where(draw < chance).select("path", "key", F.greatest(F.lit(1.0), chance).alias("w"))
     order = Window.partitionBy("path").orderBy("key")
@@ -39,19 +40,19 @@ def subdivide(rows: DataFrame, round_: int, sample: int, ranges: int) -> DataFra
     place = F.aggregate(powers, F.lit(0), lambda at, power: F.when(
         (at + power <= F.size("splitters")) & (F.get("splitters", at + power - 1) <= F.col("key")), at + power).otherwise(at))
     found = rows.join(pin(cuts, "splitters"), "path", "left")
-    return found.withColumn("path", F.concat("path", F.array(F.when(F.col("splitters").isNull(), 0).otherwise(place)))).drop("splitters", "room")
+    return found.withColumn("path", F.concat("path", F.array(F.when(F.col("splitters").isNull(), 0).otherwise(place)))).drop("splitters", "room", "members")
 
 
-def ranged(rows: DataFrame, total: int, sample: int, ranges: int, full: int) -> DataFrame:
+def ranged(rows: DataFrame, total: int, count: int, sample: int, ranges: int, full: int) -> DataFrame:
     """``rows`` (key, size and more) with a ``path`` that sorts as the keys do; at most ``full`` rows have the same.
 
     Keys must differ. Each round subdivides only the ranges that are still too full.
     """
-    open_, done, round_ = rows.withColumns({"path": F.array().cast("array<int>"), "room": F.lit(total).cast("long")}), None, 0
+    open_, done, round_ = rows.withColumns({"path": F.array().cast("array<int>"), "room": F.lit(total).cast("long"), "members": F.lit(count).cast("long")}), None, 0
     while True:
         round_ += 1
         split = pin(subdivide(open_, round_, sample, ranges), "ranges")
-        heavy = pin(split.groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("room")).where(F.col("n") > full).drop("n"), "overfull")
+        heavy = pin(split.groupBy("path").agg(F.count("*").alias("members"), F.sum("size").alias("room")).where(F.col("members") > full), "overfull")
         if heavy.isEmpty():
             return split if done is None else done.unionByName(split)
         settled = split.join(heavy, "path", "left_anti").select(split.columns)
@@ -72,8 +73,8 @@ def shard_by_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                        F.crc32(whole(text).cast("binary")).alias("text_crc32"), F.xxhash64(whole(text)).alias("hash"))
     # the row number is fixed by writing it once; it only tells repeated rows apart
     rows = pin(rows.withColumn("row", F.monotonically_increasing_id()), "records")
-    total = rows.agg(F.sum("size")).first()[0] or 1
-    placed = ranged(rows.select(F.struct("hash", "doc_id", "row").alias("key"), "size", "text_crc32"), total, sample, ranges, full)
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(1)), F.greatest(F.count("*"), F.lit(1))).first()
+    placed = ranged(rows.select(F.struct("hash", "doc_id", "row").alias("key"), "size", "text_crc32"), total, count, sample, ranges, full)
     order = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = placed.groupBy("path").agg(F.sum("size").alias("s"), F.count("*").alias("n")).select(
         "path", F.coalesce(F.sum("s").over(order), F.lit(0)).alias("start"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("first"))
