@@ -84,13 +84,14 @@ class PairTable:
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, longest: int = 1024, known: int = 300_000, cells: int = 1 << 20) -> None:
+    def __init__(self, tokens: list[bytes], pattern: str, longest: int = 1024, known: int = 100_000, cells: int = 1 << 20) -> None:
         self.tokens, self.longest, self.known, self.cells = tokens, longest, known, cells
         self.rank = {t: i for i, t in enumerate(tokens) if t}
         self.single = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         self.pairs = PairTable(tokens)
         self.pattern = regex.compile(pattern)
         self.decimal = [str(i) for i in range(len(tokens))]
+        self.number = list(range(len(tokens)))  # one object for each id, whatever table refers to it
         self.table: dict[str, tuple[int, ...]] = {}
 
     def merge_rows(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
@@ -111,7 +112,7 @@ class Codec:
             if done.any():
                 lengths = (ids[done] >= 0).sum(axis=1).tolist()
                 for r, row, n in zip(rows[done].tolist(), ids[done].tolist(), lengths):
-                    out[r] = tuple(row[:n])
+                    out[r] = tuple(map(self.number.__getitem__, row[:n]))
             if done.all():
                 return out
             rows, ids, ranks, at, least = rows[~done], ids[~done], ranks[~done], at[~done], least[~done]
@@ -181,7 +182,7 @@ class Codec:
             yield self.pattern.findall(text[at:end])
             at = end
 
-    def encode_all(self, texts: Iterable[str], together: int = 1 << 18) -> Iterator[tuple[int, list[int]]]:
+    def encode_all(self, texts: Iterable[str], together: int = 1 << 17) -> Iterator[tuple[int, list[int]]]:
         """(index of the text, ids) for each slice in order. New pieces of about ``together`` pieces of many texts are learned at once."""
         waiting: list[tuple[int, list[str]]] = []
         held = 0
@@ -214,11 +215,29 @@ class Codec:
 _codecs: dict[tuple[int, str], Codec] = {}
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = True) -> DataFrame:
+def digests(codec: Codec, texts: pd.Series, ids: bool) -> pd.DataFrame:
+    """Number of tokens, digest of the ids, digest of the decoded bytes, and the ids if asked."""
+    counts = [0] * len(texts)
+    hashed, back = [hashlib.sha256() for _ in counts], [hashlib.sha256() for _ in counts]
+    kept: list[list[np.ndarray]] = [[] for _ in counts]
+    for k, part in codec.encode_all(value or "" for value in texts):
+        if part:
+            hashed[k].update(("," * bool(counts[k]) + ",".join(map(codec.decimal.__getitem__, part))).encode())
+            back[k].update(codec.decode(part))
+            counts[k] += len(part)
+            if ids:
+                kept[k].append(np.array(part, np.int32))
+    out = {"n_tokens": counts, "ids_sha256": [h.hexdigest() for h in hashed], "decoded_sha256": [h.hexdigest() for h in back]}
+    if ids:
+        out["tokens"] = [np.concatenate(p) if p else np.zeros(0, np.int32) for p in kept]
+    return pd.DataFrame(out)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = True, together: int = 500) -> DataFrame:
     """All columns of ``docs`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked, the ``tokens`` themselves.
 
     Null counts as the empty text: no tokens. The rank file is read once and sent to the workers, at
-    most a few MB. Texts are worked through in slices, so memory does not grow with a text's
+    most a few MB. ``together`` texts are worked through at once, in slices, so memory does not grow with a text's
     length but for the row itself. Equal texts get equal ids; repeated rows stay.
     """
     vocabulary = load_ranks(path)
@@ -233,20 +252,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bo
             _codecs[key] = Codec(sent.value, pattern)
         codec = _codecs[key]
         for batch in batches:
-            counts = [0] * len(batch)
-            hashed, back = [hashlib.sha256() for _ in counts], [hashlib.sha256() for _ in counts]
-            kept: list[list[np.ndarray]] = [[] for _ in counts]
-            for k, part in codec.encode_all(value or "" for value in batch):
-                if part:
-                    hashed[k].update(("," * bool(counts[k]) + ",".join(map(codec.decimal.__getitem__, part))).encode())
-                    back[k].update(codec.decode(part))
-                    counts[k] += len(part)
-                    if ids:
-                        kept[k].append(np.array(part, np.int32))
-            out = {"n_tokens": counts, "ids_sha256": [h.hexdigest() for h in hashed], "decoded_sha256": [h.hexdigest() for h in back]}
-            if ids:
-                out["tokens"] = [np.concatenate(p) if p else np.zeros(0, np.int32) for p in kept]
-            yield pd.DataFrame(out)
+            for at in range(0, len(batch), together):
+                yield digests(codec, batch.iloc[at:at + together], ids)
 
     made, = fresh(docs, "__bpe")
     names = [k.split()[0] for k in kinds.split(", ")]
