@@ -93,3 +93,12 @@ def test_split_and_variant_backs(frame):
                            (1, 0, "Threat Mission", "Core", "/9.png"), (2, 0, "Threat Mission", "Core", "/8.png")]
     assert rows(p.variant_backs(df, "Condition"), "page_id", "pos", "variant", "failed") == [
         (0, 1, "One", False), (0, 2, "One", False), (1, 0, None, True), (2, 0, "Stun", False)]
+
+
+def test_references_and_an_empty_first_block(frame):
+    page = gallery("Ann&#8217;s &#x27;Deck&#x27; &amp; more", ["Caf&#233;", "One"], images=[("x", "/x.png"), ("y", "/y.png")])
+    page = page.replace('src="/x.png"', "")
+    row = p.read_pages(pages(frame, page)).first()
+    assert row.section == "Ann\u2019s 'Deck' & more" and row.crumbs[0] == "Caf\u00e9"
+    found = pages(frame, page).select(p.first_image(F.col("html"), F.lit("k"), {"k": "/fallback.png"}).alias("x"))
+    assert found.first().x == "/y.png"

@@ -108,3 +108,36 @@ def test_only_local_sessions_may_lack_a_shared_folder():
     assert shared_root(local) == shared_root(local)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_root(Unset("yarn"))
+
+
+def test_the_folder_is_cut_off_at_its_own_place(spark, tmp_path):
+    folder = tmp_path / "a" / "b" / "a" / "b"
+    folder.mkdir(parents=True)
+    (folder / "x.txt").write_text("1")
+    (tmp_path / "a" / "b" / "y.txt").write_text("2")
+    assert rows(src.list_files(spark, str(tmp_path / "a" / "b")), "path") == [("a/b/x.txt",), ("y.txt",)]
+
+
+def test_a_finished_scope_leaves_no_files(spark, frame):
+    import os
+
+    from tidyshelf.session import pin, pinned, shared_path, shared_root
+
+    root = os.path.join(shared_root(spark), spark.sparkContext.applicationId)
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(root) for f in names}
+    kept = pin(frame([(1,)], "n int"))
+    before = files()
+    with pinned(spark):
+        with pinned(spark):
+            assert pin(frame([(2,)], "n int")).count() == 1
+        inner = pin(frame([(3,)], "n int"))
+        assert inner.count() == 1 and files() > before
+    assert files() == before and kept.count() == 1 and "scope" not in shared_path(spark, "x")
+
+
+def test_an_overwrite_reads_nothing_back(spark, frame, tmp_path):
+    df = frame([("a", 1), ("b", 2), ("a", 3)], "kind string, n int")
+    folder = str(tmp_path / "out")
+    report = sinks.write_by_type(df, "kind", folder, known=["a", "z"], seq="n", mode="overwrite")
+    assert folder not in report._jdf.queryExecution().analyzed().toString() and not [f for f in report.inputFiles() if folder in f]
+    assert rows(report) == [("a", 2), ("b", 1), ("z", 0)]

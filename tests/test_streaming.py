@@ -66,3 +66,10 @@ def test_fan_out_restarts_without_loss_or_doubles(spark, tmp_path):
     assert run(BATCHES[0]) == [(1, "a"), (2, "a")]
     assert run(BATCHES[1]) == [(1, "a"), (2, "a"), (3, "b"), (4, "a")]
     assert run() == [(1, "a"), (2, "a"), (3, "b"), (4, "a")]
+
+
+def test_first_arrivals_keep_the_whole_first_record(spark, tmp_path):
+    again = [(0, "a", "back", "2024-01-02 00:00:00"), (9, "c", "x", "2024-01-02 00:00:00"), (8, "c", "x", "2024-01-02 00:00:01")]
+    out = s.run_to_table(s.first_arrivals(feed(spark, tmp_path, *BATCHES, again), ["kind", "name"], "id"), str(tmp_path / "out"), str(tmp_path / "progress"))
+    got = {r.id for r in out.collect()}
+    assert len(got) == 4 and 8 in got and 3 in got

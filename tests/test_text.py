@@ -99,3 +99,19 @@ def test_numbers(frame):
     assert apply(frame, ["Tier 1 of 23", "none", "", None], t.trailing_int) == [23, None, None, None]
     assert apply(frame, ["Wave 4", "wave-10", "Wave x", "7"], lambda v: t.strip_to_int(v, ["wave ", "wave-"])) == [4, 10, None, 7]
     assert apply(frame, ["a &amp;lt; b &lt;"], t.unescape_html) == ["a &lt; b <"]
+
+
+def test_character_references(frame):
+    cases = [("It&#8217;s &#x27;x&#X27; &eacute; &amp;#39; &#38;lt; &lt;b&gt;&nbsp;&quot;", "It\u2019s 'x' &eacute; &#39; &lt; <b>\u00a0\""), ("&#0;&#xD800;&#1114112;", "\ufffd" * 3),
+             ("&#128512;", "\U0001f600"), ("plain & text &#; &#x;", "plain & text &#; &#x;"), (None, None)]
+    df = frame([(i, c[0]) for i, c in enumerate(cases)], "id int, t string")
+    assert {r.id: r.x for r in df.select("id", t.unescape_html(F.col("t")).alias("x")).collect()} == {i: c[1] for i, c in enumerate(cases)}
+    more = df.where("id = 0").select(t.unescape_html(F.col("t"), {**t.NAMED_REFERENCES, "&eacute;": "\u00e9"}).alias("x")).first().x
+    assert "\u00e9" in more
+
+
+def test_replace_by_table(frame):
+    df = frame([(1, "a"), (2, "b"), (3, None), (4, "a")], "id int, v string")
+    mapping = frame([("a", "x"), ("a", "x"), ("c", "y"), (None, "z")], "key string, value string")
+    out = t.replace_by_table(df, "v", mapping)
+    assert out.columns == df.columns and rows(out) == [(1, "x"), (2, "b"), (3, None), (4, "x")]

@@ -31,6 +31,17 @@ def replace_exact(col: Column, mapping: Mapping[str, str]) -> Column:
     return F.coalesce(F.try_element_at(literal_map(mapping), col), col)
 
 
+def replace_by_table(df: DataFrame, col: str, mapping: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+    """Whole-value corrections from a mapping of any size; values without an entry pass.
+
+    A key listed twice counts once, with its greatest value. A left join, so Spark broadcasts the
+    mapping when its size allows and splits hot values otherwise.
+    """
+    entries = mapping.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(value).alias("_value"))
+    joined = df.join(entries, F.col(col) == F.col("_key"), "left")
+    return joined.select(*[F.coalesce("_value", F.col(c)).alias(c) if c == col else F.col(c) for c in df.columns])
+
+
 def strip_words(col: Column, words: Sequence[str] | Mapping[str, str]) -> Column:
     """Replace each text everywhere, in the given order, by nothing or by its mapped text."""
     pairs = words.items() if isinstance(words, Mapping) else [(w, "") for w in words]
@@ -190,7 +201,24 @@ def strip_to_int(col: Column, words: Sequence[str]) -> Column:
     return F.when(F.rlike(rest, F.lit(r"^[+-]?[0-9]+$")), rest.try_cast("bigint"))
 
 
-def unescape_html(col: Column) -> Column:
-    """The five predefined character references and the no-break space; ``&amp;`` last."""
-    references = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
-    return strip_words(col, references)
+# Named character references decoded by default.
+NAMED_REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0"}
+
+
+def unescape_html(col: Column, named: Mapping[str, str] = NAMED_REFERENCES) -> Column:
+    """Character references as their characters: all numeric ones, decimal or hex, and the named ones given.
+
+    ``&amp;`` comes last, so nothing is decoded twice. Numbers that stand for no character give the replacement character.
+    """
+    found = F.array_distinct(F.regexp_extract_all(col, F.lit("&#([0-9]{1,9}|[xX][0-9a-fA-F]{1,8});"), 1))
+
+    def character(number: Column) -> Column:
+        hexadecimal = F.lower(F.substring(number, 1, 1)) == "x"
+        code = F.when(hexadecimal, F.conv(F.substr(number, F.lit(2)), 16, 10)).otherwise(number).cast("bigint")
+        known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        bytes_ = F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(F.lit(0xFFFD))), 8, "0"))
+        return F.when(code == 38, F.lit("&amp;")).otherwise(F.decode(bytes_, "UTF-32"))
+
+    numbered = F.aggregate(found, col, lambda text, number: F.replace(text, F.concat(F.lit("&#"), number, F.lit(";")), character(number)))
+    plain = F.when(F.contains(col, F.lit("&#")), numbered).otherwise(col)
+    return F.replace(strip_words(plain, dict(named)), F.lit("&amp;"), F.lit("&"))

@@ -49,9 +49,9 @@ def unresolved_names(named: DataFrame, out: str = "canonical") -> DataFrame:
     return named.where(F.col(out) == "")
 
 
-def level_report(named: DataFrame, level: str = "level") -> DataFrame:
-    """Settled names per strategy."""
-    return named.where(F.col(level).isNotNull()).groupBy(level).agg(F.count("*").alias("names"))
+def level_report(named: DataFrame, level: str = "level", out: str = "canonical") -> DataFrame:
+    """Settled names per strategy; a record whose name is empty counts as open, as in ``unresolved_names``."""
+    return named.where(F.col(level).isNotNull() & (F.col(out) != "")).groupBy(level).agg(F.count("*").alias("names"))
 
 
 def name_clashes(named: DataFrame, out: str = "canonical") -> DataFrame:

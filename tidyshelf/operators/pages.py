@@ -204,7 +204,7 @@ def album_sources(pages: DataFrame, kind: str, t: Template = GALLERY) -> DataFra
 def pack_sources(pages: DataFrame, marker: str, if_any: str, if_none: str, wave_words: Sequence[str],
                  fallbacks: Mapping[str, str], t: Template = GALLERY) -> DataFrame:
     """One source per page: its kind by whether any album has the marker title, its wave from the last
-    crumb, its image from the first image block or else by heading."""
+    crumb, its image from the first image block that has one or else by heading."""
     has_marker = F.coalesce(F.exists(album_titles(F.col("html"), t), lambda x: x == marker), F.lit(False))
     return pages.select(
         "page_id", F.lit(0).alias("pos"), F.col("section").alias("name"),
@@ -214,8 +214,9 @@ def pack_sources(pages: DataFrame, marker: str, if_any: str, if_none: str, wave_
 
 
 def first_image(html: Column, key: Column, fallbacks: Mapping[str, str], t: Template = GALLERY) -> Column:
-    """The first image of the first image block, else the fallback by key."""
-    first = first_match(F.try_element_at(F.regexp_extract_all(html, F.lit(t.image), 1), F.lit(1)), t.src)
+    """The first image that any image block has, else the fallback by key."""
+    found = F.transform(F.regexp_extract_all(html, F.lit(t.image), 1), lambda block: first_match(block, t.src))
+    first = F.try_element_at(F.filter(found, lambda x: x.isNotNull()), F.lit(1))
     return F.coalesce(first, F.try_element_at(literal_map(fallbacks), key))
 
 

@@ -27,25 +27,25 @@ def to_table(spark, stream):
 def document_stages():
     """Listed out of order; the priorities sort them."""
     return [(300, lambda d: f.drop_suffix(d, "title", "junk")),
-            (100, lambda d: d.withColumn("title", t.slugify(F.substring_index("text", "\n", 1)))),
+            (100, lambda d: d.withColumn("title", t.slugify(F.col("text")))),
             (200, lambda d: d.withColumn("source", t.replace_exact(F.col("source"), {"src3": "Archive", "src5": "Mirror"}))),
             (200, lambda d: f.drop_named(d, "source", "ARCHIVE"))]
 
 
 STAGES_SQL = r"""
-    SELECT doc_id, CASE source WHEN 'src5' THEN 'Mirror' ELSE source END AS source, title FROM (SELECT *,
-        regexp_replace(lower(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '[^\p{L}\p{N}_\s-]', '', 'g'), '^\s+|\s+$', '', 'g')), '[\s-]+', '-', 'g') AS title
+    SELECT doc_id, CASE source WHEN 'src5' THEN 'Mirror' ELSE source END AS source, sha256(title) AS title FROM (SELECT *,
+        regexp_replace(lower(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\s-]', '', 'g'), '^\s+|\s+$', '', 'g')), '[\s-]+', '-', 'g') AS title
         FROM documents) WHERE source <> 'src3' AND NOT ends_with(title, 'junk')"""
 
 
 @query("k1_apply_stages", STAGES_SQL)
 def k1(spark, sf):
-    return s.apply_stages(table(spark, sf, "documents"), document_stages()).select("doc_id", "source", "title")
+    return s.apply_stages(table(spark, sf, "documents"), document_stages()).select("doc_id", "source", F.sha2("title", 256).alias("title"))
 
 
 @query("k1_stream_stages", STAGES_SQL)
 def k1_stream(spark, sf):
-    return to_table(spark, s.apply_stages(arriving(spark, sf, "documents"), document_stages()).select("doc_id", "source", "title"))
+    return to_table(spark, s.apply_stages(arriving(spark, sf, "documents"), document_stages()).select("doc_id", "source", F.sha2("title", 256).alias("title")))
 
 
 @query("k2_dedup_arrivals", "SELECT DISTINCT user_id, event_type FROM events")
@@ -54,6 +54,12 @@ def k2(spark, sf):
     return to_table(spark, s.dedup_arrivals(arriving(spark, sf, "events").select("user_id", "event_type"), ["user_id", "event_type"]))
 
 
+@query("k2_first_arrivals", "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1")
+def k2_first(spark, sf):
+    """The whole first event of each user and kind."""
+    return to_table(spark, s.first_arrivals(arriving(spark, sf, "events"), ["user_id", "event_type"], "event_id"))
+
+
 @query("k2_dedup_within_watermark", "SELECT DISTINCT user_id, event_type FROM events")
 def k2_watermark(spark, sf):
     """Keys remembered for a year of event time, which the given events do not exceed."""

@@ -35,6 +35,21 @@ def a1(spark, sf):
     return back.withColumn("place", place.cast("bigint")).drop("seq")
 
 
+@query("a1_read_array_files", """
+    SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment,
+           row_number() OVER (PARTITION BY c_custkey // 1000 ORDER BY c_custkey) AS place
+    FROM customer""")
+def a1_files(spark, sf):
+    """The same customers with a file for each array of a thousand."""
+    customers, chunk = table(spark, sf, "customer"), F.floor(F.col("c_custkey") / 1000)
+    folder = shared_path(spark, "collection")
+    arrays = customers.groupBy(chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct(*customers.columns))).alias("records"))
+    arrays.select("chunk", F.to_json("records").alias("value")).write.partitionBy("chunk").text(folder)
+    back = src.read_collection(spark, folder, customers.schema).drop("chunk")
+    place = F.row_number().over(Window.partitionBy(chunk).orderBy("seq"))
+    return back.withColumn("place", place.cast("bigint")).drop("seq")
+
+
 @query("a2_explode_wrapped", """
     WITH lines AS (SELECT doc_id, lang, string_split(text, chr(10)) AS parts FROM documents),
     rows AS (SELECT doc_id, lang, unnest(parts) AS name, generate_subscripts(parts, 1) AS i FROM lines)

@@ -29,6 +29,16 @@ def g1(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", t.replace_exact(F.col("c_mktsegment"), SEGMENTS).alias("segment"))
 
 
+@query("g1_replace_by_table", """
+    SELECT c_custkey, coalesce(s_name, c_name) AS name FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey * 7""")
+def g1_table(spark, sf):
+    """Every seventh customer is renamed after a supplier; the mapping lists each entry twice."""
+    entries = table(spark, sf, "supplier").select((F.col("s_suppkey") * 7).alias("number"), "s_name")
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name")
+    mapping = customers.join(entries, F.col("c_custkey") == F.col("number")).select(F.col("c_name").alias("key"), F.col("s_name").alias("value"))
+    return t.replace_by_table(customers, "c_name", mapping.unionByName(mapping)).withColumnRenamed("c_name", "name")
+
+
 @query("g2_strip_words", "SELECT doc_id, sha256(replace(replace(replace(text, ' the', ''), 'ing', ''), 'ou', 'u')) AS stripped FROM documents")
 def g2(spark, sf):
     stripped = t.strip_words(F.col("text"), {" the": "", "ing": "", "ou": "u"})
@@ -188,10 +198,19 @@ def h1(spark, sf):
     return named_parts(spark, sf).select("p_partkey", "p_name", "canonical", "level")
 
 
-@query("h1_name_clashes", NAMED_SQL + """SELECT canonical, count(*) AS records, count(DISTINCT level) AS levels
-    FROM named WHERE canonical <> '' GROUP BY canonical HAVING count(*) > 1""")
+@query("h1_name_clashes", """
+    WITH s AS (SELECT s_suppkey AS key, CASE WHEN s_suppkey < 10 THEN 'x' || s_suppkey ELSE 'x' END AS a,
+                      CASE WHEN s_suppkey < 10 THEN '' WHEN s_suppkey < 20 THEN CAST(s_suppkey % 10 AS VARCHAR) ELSE CAST(s_suppkey AS VARCHAR) END AS b FROM supplier),
+    l AS (SELECT *, count(*) OVER (PARTITION BY a) = 1 AS alone FROM s),
+    named AS (SELECT CASE WHEN alone THEN a ELSE a || b END AS canonical, CASE WHEN alone THEN 0 ELSE 1 END AS level FROM l)
+    SELECT canonical, count(*) AS records, count(DISTINCT level) AS levels FROM named GROUP BY canonical HAVING count(*) > 1""")
 def h1_clashes(spark, sf):
-    return n.name_clashes(named_parts(spark, sf))
+    """The first ten suppliers are told apart by a name that the next ten get from two parts."""
+    key = F.col("s_suppkey")
+    parts = table(spark, sf, "supplier").select(
+        "s_suppkey", F.when(key < 10, F.concat(F.lit("x"), key.cast("string"))).otherwise("x").alias("a"),
+        F.when(key < 10, "").when(key < 20, (key % 10).cast("string")).otherwise(key.cast("string")).alias("b"))
+    return n.name_clashes(n.unique_names(parts, "s_suppkey", [["a"], ["a", "b"]]))
 
 
 @query("h2_unresolved_names", NAMED_SQL + "SELECT p_partkey, p_name FROM named WHERE canonical = ''")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,9 +46,30 @@ def _local_root(application: str) -> str:
     return tempfile.mkdtemp(prefix="tidyshelf-")
 
 
+_scopes: list[str] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, in the application's own subfolder."""
-    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in the application's own subfolder and that of an open scope."""
+    inner = "".join(f"/{s}" for s in _scopes)
+    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}{inner}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def pinned(spark: SparkSession) -> Iterator[None]:
+    """A scope for pinned tables: all that is pinned inside is removed at its end.
+
+    Write the result inside the scope; frames that read pinned tables are of no use after it.
+    """
+    name = f"scope-{uuid.uuid4().hex}"
+    _scopes.append(name)
+    inner = "/".join(_scopes)
+    try:
+        yield
+    finally:
+        _scopes.remove(name)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{inner}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pin(df: DataFrame, label: str = "pinned") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +76,8 @@ def list_files(spark: SparkSession, folder: str, pattern: str | None = None) ->
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    marker = folder.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
-    inside = F.locate(marker, F.col("path")) + len(marker)
+    # the known root in front, with or without scheme and host, and nothing further in
+    marker = re.sub("^[a-z0-9+.-]+:", "", folder.rstrip("/")).lstrip("/") + "/"
+    root = F.regexp_extract(F.col("path"), f"^(?:[a-z0-9+.-]+:)?/*(?:[^/]*/)?{re.escape(marker)}", 0)
+    inside = F.when(root == "", F.locate(marker, F.col("path")) + len(marker)).otherwise(F.length(root) + 1)
     return reader.load(folder).select(F.substring(F.col("path"), inside, F.length("path")).alias("path"), "length")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def write_by_type(df: DataFrame, type_col: str, folder: str, orders: Mapping[str, Sequence[str]] | None = None,
                   known: Sequence[str] = (), seq: str | None = None, fmt: str = "json", mode: str = "append") -> DataFrame:
     """One folder ``type_col=value`` per record type; returns the rows per type now in the folder,
-    empty known types included.
+    empty known types included. After an overwrite these are counted in the input's type column alone; only
+    appending reads the folder.
 
     ``orders`` names the sort columns of some types, nulls first; ties and other types keep the order
     of ``seq``, or else of arrival. Rows are range-partitioned by type and all of these, so a large
@@ -36,7 +37,7 @@ def write_by_type(df: DataFrame, type_col: str, folder: str, orders: Mapping[str
     for i, kind in enumerate(known):
         if seen.get[f"n{i}"] == 0:
             df.drop(type_col).limit(0).write.mode(mode).format(fmt).save(f"{folder}/{type_col}={kind}")
-    written = spark.read.format(fmt).schema(df.schema).load(folder)
+    written = df if mode == "overwrite" else spark.read.format(fmt).schema(df.schema).load(folder)
     counts = written.groupBy(F.col(type_col).cast("string").alias(type_col)).agg(F.count("*").alias("rows"))
     expected = spark.createDataFrame([(k,) for k in known], f"{type_col} string")
     return counts.join(expected, type_col, "full").select(type_col, F.coalesce("rows", F.lit(0)).alias("rows"))

@@ -34,6 +34,26 @@ def dedup_arrivals(stream: DataFrame, keys: Sequence[str], event_time: str | Non
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def first_arrivals(stream: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """The whole first record per key: of the batch in which the key is first seen, the one of least ``order``.
+
+    State is one flag per key, kept for the whole run. A batch's records of one key pass through one task, chunk
+    by chunk, and only the least is held.
+    """
+    names = stream.columns
+
+    def least(key, chunks, state):
+        best = None
+        for chunk in chunks:
+            first = chunk.nsmallest(1, order)
+            best = first if best is None or (len(first) and first[order].iloc[0] < best[order].iloc[0]) else best
+        if not state.exists:
+            state.update((True,))
+            yield best[names]
+
+    return stream.groupBy(*keys).applyInPandasWithState(least, stream.schema, "seen boolean", "append", "NoTimeout")
+
+
 def drop_known_arrivals(stream: DataFrame, content: str, denylist: DataFrame, bits: int = 512) -> DataFrame:
     """Stream-static anti join with the list of known digests."""
     return drop_known_content(stream, content, denylist, bits=bits)
