@@ -244,9 +244,7 @@ def test_shortages_go_to_siblings_before_ancestors(spark):
     assert {r.budget for r in mixing.budget_leaves(leaves, {}, 10**9, 3).collect()} == {300, 3000}
 
 
-@pytest.mark.parametrize("slice_", [3, 4096])
-def test_a_leaf_reads_a_prefix_of_its_order(spark, monkeypatch, slice_):
-    monkeypatch.setattr(mixing, "SLICE", slice_)
+def test_a_leaf_reads_a_prefix_of_its_order(spark):
     df = spark.createDataFrame([(i, "w " * (1 + i % 7), "en", "s1") for i in range(200)], "doc_id bigint, text string, lang string, source string")
     total = sum(1 + i % 7 for i in range(200))
     out = {r.doc_id: r for r in mixing.mix(df, {}, budget=total + 300).collect()}

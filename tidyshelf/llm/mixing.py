@@ -19,8 +19,6 @@ MAX_EPOCHS = 2
 LEVELS = ["domain", "lang", "source"]
 #: A plan of at most this many leaves is broadcast; a larger one is joined by its keys.
 SMALL_PLAN = 20_000
-#: Documents of a leaf that are put in order at once, on average.
-SLICE = 4096
 
 
 def token_count(text: Column) -> Column:
@@ -115,13 +113,14 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], text: str = "text",
     plan = pin(leaves.join(plan, LEVELS).select(
         "leaf", F.when(F.col("tokens") == 0, 1).otherwise(F.expr("budget div greatest(tokens, 1)")).cast("int").alias("whole"),
         F.when(F.col("tokens") == 0, 0).otherwise(F.expr("budget % greatest(tokens, 1)")).cast("long").alias("rest"),
-        F.ceil(F.col("n") / SLICE).cast("long").alias("slices")), "plan")
+        F.ceil(F.sqrt("n")).cast("long").alias("slices")), "plan")
     small = plan.count() <= SMALL_PLAN
 
     def planned(df: DataFrame) -> DataFrame:
         return df.join(F.broadcast(plan) if small else plan, "leaf")
 
-    # the prefix of the last epoch: slices of the order summed first, then the one slice in which it ends
+    # the prefix of the last epoch: slices of the order summed first, then the one slice in which it ends; with as many
+    # slices as a slice has documents, no window spans more than the root of a leaf's number
     part = planned(light).where("rest > 0").withColumn("place", place_of(seed, F.col("whole"), F.col("row")))
     part = part.groupBy("leaf", "rest", "slices", "place").agg(F.sum("tokens").alias("tokens")) \
         .withColumn("slice", slice_of(F.col("place"), F.col("slices")))
