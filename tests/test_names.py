@@ -98,6 +98,16 @@ def test_fuzzy_long_names(frame):
     assert {tuple(r) for r in df.collect()} == brute(missing, have)
 
 
+def test_long_names_with_a_common_beginning(frame):
+    rng = random.Random(10)
+    start = "".join(rng.choice("abcdefgh") for _ in range(20))
+    word = lambda k: start + "".join(rng.choice("abcdefgh") for _ in range(k))
+    have = {word(rng.randint(5, 20)) for _ in range(80)}
+    missing = {h[:-2] + "zz" for h in list(have)[:20]} | {word(9) for _ in range(20)} | {h + "q" * 9 for h in list(have)[:5]}
+    df = n.fuzzy_candidates(frame([(m,) for m in missing], "name string"), frame([(h,) for h in have], "name string"))
+    assert {tuple(r) for r in df.collect()} == brute(missing, have)
+
+
 def test_manifest(frame):
     df = frame([("u1", "a"), ("http://known.example.org/x", "b"), (None, "c")], "url string, name string")
     assert rows(n.fetch_manifest(df, "cards", "url", "name", "known.example")) == [("cards", "u1", "a"), ("cards", None, "c")]

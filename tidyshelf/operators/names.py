@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from math import log
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -96,8 +97,19 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 matching_ratio = matching_ratio.asNondeterministic()
 
 
-# Missing names up to this length are keyed by place and partner length too.
-SHORT_NAME = 24
+# Ratio of the lengths that bound a band; up to a dozen characters every length is a band of its own.
+BAND = 1.1
+# A cell is this part of a name of the band's length, and one place at least.
+CELLS = 16
+
+
+def _band(length: Column) -> Column:
+    return F.floor(F.log(length) / F.lit(log(BAND)) + F.lit(1e-9)).cast("int")
+
+
+def _cell(place: Column, band: Column) -> Column:
+    """Number of the cell of a place in names of a band."""
+    return F.floor(place / F.greatest(F.lit(1), F.floor(F.pow(F.lit(BAND), band) / CELLS))).cast("int")
 
 
 def _least_match(total: Column, ratio: float) -> Column:
@@ -129,9 +141,9 @@ def _ratio_pairs(missing: DataFrame, have: DataFrame, ratio: float) -> DataFrame
 
     The lengths of two names fix how many characters must match, hence how far a common run can be
     shifted and how many bigrams they share at least. So one of a few rarest bigrams of each must be
-    common to both, at nearly the same place. Known names are listed under these bigrams with place
-    and length; a missing name looks under every length and place that could do. Missing names that
-    are too long to enumerate those are keyed by the bigram, and the same bounds are join conditions.
+    common to both, at nearly the same place. Known names are listed under these bigrams with a band of
+    lengths and a cell of places; a missing name looks under every band and cell that could do, some
+    ten of each whatever its length. Exact lengths, places and the edit distance then decide.
     """
     every = missing.select("name").unionByName(have.select("name"))
     often = every.select(F.explode(_grams(F.col("name"), 2)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
@@ -148,6 +160,7 @@ def _ratio_pairs(missing: DataFrame, have: DataFrame, ratio: float) -> DataFrame
     partners = _partner_lengths(length, ratio)
     least_needed = F.array_min(F.transform(partners, lambda n: _needed(n + length, ratio)))
     known = listed(_ranked_grams(have, often), "b", least_needed)
+    known = known.withColumn("band", _band(F.col("len_b"))).withColumn("cell", _cell(F.col("pos_b"), F.col("band")))
     wanted = _ranked_grams(missing, often)
     total = F.col("len_a") + F.col("len_b")
     match = _least_match(total, ratio)
@@ -157,37 +170,41 @@ def _ratio_pairs(missing: DataFrame, have: DataFrame, ratio: float) -> DataFrame
     edits = F.call_function("levenshtein", F.col("name_a"), F.col("name_b"), total - 2 * match)
     enough = edits >= 0
 
-    short = wanted.where(length <= SHORT_NAME).withColumn("len_b", F.explode(partners))
-    short = listed(short, "a", _needed(length + F.col("len_b"), ratio))
-    short = short.withColumn("pos_b", F.explode(F.sequence(F.col("pos_a") - before, F.col("pos_a") + after)))
-    long = listed(wanted.where(length > SHORT_NAME), "a", least_needed)
+    bands = F.transform(F.array_distinct(F.transform(partners, _band)), lambda band: F.struct(
+        band.alias("band"), F.filter(partners, lambda n: _band(n) == band).alias("lengths")))
+    asking = wanted.withColumn("b", F.explode(bands)).select(
+        "name", "len", "size", "ranked", F.col("b.band").alias("band"), F.array_min("b.lengths").alias("low"), F.array_max("b.lengths").alias("high"))
+    asking = listed(asking, "a", _needed(length + F.col("low"), ratio))
+    earliest = F.col("pos_a") - (F.col("len_a") - _least_match(F.col("len_a") + F.col("low"), ratio))
+    latest = F.col("pos_a") + F.col("high") - _least_match(F.col("len_a") + F.col("high"), ratio)
+    asking = asking.withColumn("cell", F.explode(F.sequence(_cell(F.greatest(earliest, F.lit(0)), F.col("band")), _cell(F.greatest(latest, F.lit(0)), F.col("band")))))
     shift = F.col("pos_b") - F.col("pos_a")
     feasible = (match <= F.least("len_a", "len_b")) & (shift >= -before) & (shift <= after)
-    pairs = (
-        short.join(known, ["g", "len_b", "pos_b"]).where(within & enough).select("name_a", "name_b")
-        .unionByName(long.join(known, "g").where(feasible & within & enough).select("name_a", "name_b")).distinct()
-    )
+    pairs = asking.join(known, ["g", "band", "cell"]).where(feasible & within & enough).select("name_a", "name_b").distinct()
     return pairs.withColumn("ratio", matching_ratio("name_a", "name_b")).where(F.col("ratio") > ratio)
 
 
 def _containing_pairs(missing: DataFrame, have: DataFrame) -> DataFrame:
     """Pairs where the known name holds the missing one, found by the missing name's rarest piece.
 
-    Pieces are bigrams, the character itself for one-character names, and the empty text for an
-    empty name, which every name holds.
+    Pieces are bigrams, and the character itself for one-character names. Known names are listed only under
+    pieces that a missing name has. An empty name is held by all and goes a way of its own.
     """
     known = have.select("name").distinct()
-    held = F.array_distinct(F.concat(F.array(F.lit("")), _grams(F.col("name"), 1), _grams(F.col("name"), 2)))
-    index = known.select(F.col("name").alias("name_b"), F.explode(held).alias("piece"))
-    often = index.groupBy("piece").agg(F.count("*").alias("n"))
     name = F.col("name")
     own = F.when(F.length(name) >= 2, F.array_distinct(_grams(name, 2))).otherwise(F.array(name))
+    asked = missing.select("name").distinct().where(name != "").select(name.alias("name_a"), F.explode(own).alias("piece"))
+    pieces = asked.select("piece").distinct()
+    held = F.array_distinct(F.concat(_grams(name, 1), _grams(name, 2)))
+    index = known.select(name.alias("name_b"), F.explode(held).alias("piece")).join(pieces, "piece", "left_semi")
+    often = index.groupBy("piece").agg(F.count("*").alias("n"))
     rarest = (
-        missing.select("name").distinct().select(name.alias("name_a"), F.explode(own).alias("piece"))
-        .join(often, "piece", "left")
+        asked.join(often, "piece", "left")
         .groupBy("name_a").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
     )
-    return rarest.join(index, "piece").where(F.contains("name_b", "name_a")).select("name_a", "name_b")
+    pairs = rarest.join(index, "piece").where(F.contains("name_b", "name_a")).select("name_a", "name_b")
+    empty = missing.where(name == "").select(name.alias("name_a")).distinct()
+    return pairs.unionByName(known.select(F.lit("").alias("name_a"), name.alias("name_b")).join(empty, "name_a", "left_semi"))
 
 
 def containing_candidates(missing: DataFrame, have: DataFrame) -> DataFrame:

@@ -229,10 +229,10 @@ def h4(spark, sf):
     return n.missing_names(expected_names(spark, sf), generated_names(spark, sf))
 
 
-def menu_words(spark, sf):
-    """Names wanted: the words in the pages' menus."""
-    words = F.explode(F.regexp_extract_all("html", F.lit('<li><a [^>]*>([^<]*)</a>'), 1))
-    return table(spark, sf, "pages").select(words.alias("word")).select(t.squeeze(F.col("word")).alias("name")).distinct()
+def page_words(spark, sf):
+    """Names wanted: all words of the pages' texts."""
+    words = F.explode(F.split(F.regexp_replace("html", "<[^>]*>", " "), r"\s+"))
+    return table(spark, sf, "pages").select(words.alias("word")).select(t.squeeze(F.col("word")).alias("name")).where("name <> ''").distinct()
 
 
 def benchmark_words(spark, sf):
@@ -241,19 +241,40 @@ def benchmark_words(spark, sf):
     return table(spark, sf, "benchmark").select(words.alias("word")).select(t.squeeze(F.col("word")).alias("name")).where("name <> ''").distinct()
 
 
-@query("h5_fuzzy_candidates")
+WORDS_SQL = f"""
+    WITH RECURSIVE p AS (SELECT unnest(regexp_split_to_array(regexp_replace(html, '<[^>]*>', ' ', 'g'), $$\\s+$$)) AS word FROM pages),
+    q AS (SELECT unnest(regexp_split_to_array(text, $$\\s+$$)) AS word FROM benchmark),
+    k AS MATERIALIZED (SELECT DISTINCT name, length(name) AS n FROM (SELECT {squeeze_sql('word')} AS name FROM q) WHERE name <> ''),
+    w AS MATERIALIZED (SELECT DISTINCT name, length(name) AS n FROM (SELECT {squeeze_sql('word')} AS name FROM p) WHERE name <> '' AND name NOT IN (SELECT name FROM k)),
+    held AS (SELECT w.name AS missing, k.name AS candidate FROM w JOIN k ON contains(k.name, w.name)) """
+
+# The ratio by its definition: take the longest common run, the earliest if there are several, then look on both sides of it.
+# Its pairs are searched among those whose edit distance, counted in bytes of at most two to a letter, allows it.
+RATIO_SQL = """,
+    close AS (SELECT w.name AS a, k.name AS b, w.n AS na, k.n AS nb FROM w JOIN k ON 2 * least(w.n, k.n) > 0.8 * (w.n + k.n)
+              AND levenshtein(w.name, k.name) <= 2 * (w.n + k.n - 2 * (floor(0.4 * (w.n + k.n)) + 1))),
+    part(a, b, na, nb, alo, ahi, blo, bhi, matched) AS (
+        SELECT a, b, na, nb, 0::BIGINT, na, 0::BIGINT, nb, 0::BIGINT FROM close
+        UNION ALL
+        SELECT a, b, na, nb, CASE side WHEN 0 THEN alo ELSE run.i + run.k END, CASE side WHEN 0 THEN run.i ELSE ahi END,
+               CASE side WHEN 0 THEN blo ELSE run.j + run.k END, CASE side WHEN 0 THEN run.j ELSE bhi END, CASE side WHEN 0 THEN run.k ELSE 0 END
+        FROM (SELECT a, b, na, nb, alo, ahi, blo, bhi, arg_max({'i': i, 'j': j, 'k': k}, {'k': k, 'i': -i, 'j': -j}) AS run FROM (
+                  SELECT *, list_max(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda k: substr(a, i + 1, k) = substr(b, j + 1, k))) AS k FROM (
+                      SELECT *, unnest(range(blo, bhi)) AS j FROM (SELECT *, unnest(range(alo, ahi)) AS i FROM part)) WHERE substr(a, i + 1, 1) = substr(b, j + 1, 1))
+              GROUP BY ALL), (VALUES (0), (1)) sides(side)),
+    alike AS (SELECT a, b FROM part GROUP BY a, b, na, nb HAVING 2.0::DOUBLE * sum(matched) / (na + nb) > 0.80::DOUBLE) """
+
+
+@query("h5_fuzzy_candidates", WORDS_SQL + RATIO_SQL + "SELECT a AS missing, b AS candidate FROM alike UNION SELECT missing, candidate FROM held")
 def h5(spark, sf):
     have = benchmark_words(spark, sf)
-    return n.fuzzy_candidates(n.missing_names(menu_words(spark, sf), have), have)
+    return n.fuzzy_candidates(n.missing_names(page_words(spark, sf), have), have)
 
 
-@query("h5_containing_candidates", f"""
-    WITH w AS (SELECT DISTINCT {squeeze_sql('unnest(regexp_extract_all(html, $$<li><a [^>]*>([^<]*)</a>$$, 1))')} AS name FROM pages),
-    k AS (SELECT DISTINCT name FROM (SELECT {squeeze_sql("unnest(regexp_split_to_array(text, $$\\s+$$))")} AS name FROM benchmark) WHERE name <> '')
-    SELECT w.name AS missing, k.name AS candidate FROM w JOIN k ON contains(k.name, w.name) WHERE w.name NOT IN (SELECT name FROM k)""")
+@query("h5_containing_candidates", WORDS_SQL + "SELECT missing, candidate FROM held")
 def h5_containing(spark, sf):
     have = benchmark_words(spark, sf)
-    return n.containing_candidates(n.missing_names(menu_words(spark, sf), have), have)
+    return n.containing_candidates(n.missing_names(page_words(spark, sf), have), have)
 
 
 @query("h6_fetch_manifest", """
