@@ -44,6 +44,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Values that a mark can take; a table of marks never has more rows.
+MARKS = 1 << 20
+
+
+def sift(df: DataFrame, wanted: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` that may have their keys in ``wanted``, and those that surely have not.
+
+    Both sides get a mark, a hash of the keys that takes at most MARKS values. The distinct marks wanted are
+    broadcast, a table of bounded size, so only rows that may be needed go into the shuffle of a following join.
+    """
+    mark, = fresh(df, "__mark")
+    of = F.pmod(F.xxhash64(*keys), F.lit(MARKS)).alias(mark)
+    marks = F.broadcast(wanted.select(of).distinct())
+    marked = df.withColumn(mark, of)
+    return marked.join(marks, mark, "left_semi").drop(mark), marked.join(marks, mark, "left_anti").drop(mark)
+
+
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Whole blocks from rows sorted by ``block``: several small ones together, none cut in two."""
     held: list[pa.RecordBatch] = []

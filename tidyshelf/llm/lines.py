@@ -11,12 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyshelf.llm.common import fresh, query, table, whole
+from tidyshelf.llm.common import fresh, query, sift, table, whole
 from tidyshelf.session import pin
 
 LAST = 2**63 - 1
-#: Values that a document's mark can take; a table of marks never has more rows.
-MARKS = 1 << 20
 
 
 def masked(line: Column) -> Column:
@@ -24,10 +22,6 @@ def masked(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(line, "[0-9]+", "<*>"), r"[ \t\r\f\x0B]+", " "))
 
 
-def mark_of(doc: str) -> Column:
-    return F.pmod(F.xxhash64(doc), F.lit(MARKS))
-
-
 def template_lines(docs: DataFrame, text: str, doc_id: str, depth: int) -> DataFrame:
     """(doc, body, pos, shape, leaf, key) of each line that is not blank; ``body`` is the hash of the whole text."""
     lines = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(whole(text)).alias("body"),
@@ -49,10 +43,8 @@ def recurring_templates(docs: DataFrame, lines: DataFrame, text: str, doc_id: st
     members = pin(seen.join(leaves, "leaf", "left_semi"), "members")
     # the tokens of each masked line, read from one document that has it
     holders = members.select(F.col("first").alias("doc")).distinct()
-    # most documents hold none: at most MARKS marks are broadcast, so that only texts that may be needed are shuffled
-    marks = holders.select(mark_of("doc").alias("mark")).distinct()
-    held = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text")).withColumn("mark", mark_of("doc")) \
-        .join(F.broadcast(marks), "mark", "left_semi").join(holders, "doc", "left_semi").select("doc", "text")
+    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
+    held = sift(texts, holders, "doc")[0].join(holders, "doc", "left_semi").select("doc", "text")
     shapes = template_lines(held, "text", "doc", depth).join(members, ["leaf", "key"]).where("doc = first") \
         .groupBy("leaf", "key").agg(F.first("shape").alias("shape"), F.first("texts").alias("texts"))
     tokens = shapes.select("leaf", "key", "texts", F.posexplode(F.split("shape", " ")).alias("at", "token"))
@@ -87,10 +79,13 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc
     recurring = recurring_templates(docs, lines, text, doc_id, min_docs, depth, min_fixed)
     gone = lines.join(recurring, ["leaf", "key"]).where("doc <> keep") \
         .groupBy(F.col("doc").alias(doc), F.col("body").alias(body)).agg(F.collect_set("pos").alias(dropped))
+    gone = pin(gone, "gone")
     keyed = docs.withColumns({doc: F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), body: F.xxhash64(whole(text))})
     parts = F.split(F.col(text), "\n")
     kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(F.col(dropped), i)), "\n")
-    return keyed.join(gone, [doc, body], "left").select(
+    some, none = sift(keyed, gone, doc, body)
+    marked = some.join(gone, [doc, body], "left").unionByName(none.withColumn(dropped, F.lit(None).cast("array<int>")))
+    return marked.select(
         *[F.when(F.col(dropped).isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns],
         F.coalesce(F.size(F.filter(parts, lambda line: F.trim(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " ")) != "")), F.lit(0)).cast("long").alias(n_lines),
         F.coalesce(F.size(dropped), F.lit(0)).cast("long").alias(n_dropped))
