@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyshelf.llm.common import blocks_of, fixed, query, table, whole
+from tidyshelf.llm.common import blocks_of, fixed, fresh, query, sift, table, whole
 from tidyshelf.llm.components import components
 from tidyshelf.session import pin
 
@@ -220,7 +220,8 @@ def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, text: str
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(sets, pa.binary()))
 
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(whole(text)).alias("body"), whole(text).alias("text"))
-    rows = rows.join(sized.select("doc", "body", "node", "sig", "size", "cluster", "chunks"), ["doc", "body"]) \
+    sized = pin(sized.select("doc", "body", "node", "sig", "size", "cluster", "chunks"), "members")
+    rows = sift(rows, sized, "doc", "body")[0].join(sized, ["doc", "body"]) \
         .select("node", "sig", "size", "cluster", "chunks", "text")
     rows = rows.mapInArrow(read, "node long, sig binary, size long, cluster long, chunks int, text binary")
     grid = block_grid(rows, "cluster", F.pmod(F.xxhash64("node"), "chunks"), "chunks") \
@@ -301,16 +302,17 @@ def link_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def keep_one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without all but one document of each class; of a repeated row with words one stays."""
-    grouped = pin(link_groups(docs, text, doc_id), "groups")
-    kept = grouped.where("keep").groupBy("doc", "body").agg(F.count("*").alias("same"), F.max("n_links").alias("l"))
-    taken = {c.lower() for c in docs.columns}
-    d, b = ("__doc" + "_" * sum(c.startswith("__doc") for c in taken), "__body" + "_" * sum(c.startswith("__body") for c in taken))
+    grouped = link_groups(docs, text, doc_id).groupBy("doc", "body").agg(
+        F.max("keep").alias("keep"), F.count("*").alias("same"), F.max("n_links").alias("links"))
+    d, b = fresh(docs, "__doc", "__body")
+    twice = F.col("keep") & (F.col("same") > 1) & (F.col("links") > 0)
+    special = pin(grouped.where(~F.col("keep") | twice).select(F.col("doc").alias(d), F.col("body").alias(b), twice.alias("twice")), "dropped")
     keyed = docs.withColumns({d: F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), b: F.xxhash64(whole(text))})
-    kept = pin(kept.select(F.col("doc").alias(d), F.col("body").alias(b), ((F.col("same") > 1) & (F.col("l") > 0)).alias("twice")), "kept")
-    once = keyed.join(kept.where("not twice"), [d, b], "left_semi")
-    if not kept.where("twice").isEmpty():
-        once = once.union(keyed.join(kept.where("twice"), [d, b], "left_semi").dropDuplicates([d, b]))
-    return once.select(*docs.columns)
+    some, rest = sift(keyed, special, d, b)
+    kept = rest.unionByName(some.join(special, [d, b], "left_anti"))
+    if not special.where("twice").isEmpty():
+        kept = kept.unionByName(some.join(special.where("twice"), [d, b], "left_semi").dropDuplicates([d, b]))
+    return kept.select(*docs.columns)
 
 
 def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
