@@ -320,7 +320,32 @@ def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_of_each(docs)
 
 
-@query("op9_ngram_jaccard_join")
+OP9_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+  FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM worded WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(shingle, '|' ORDER BY shingle)) AS texts FROM s GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b, y.texts AS b_texts, x.texts <> y.texts AS apart
+  FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q USING (shingle) WHERE p.doc_id <> q.doc_id GROUP BY ALL)
+  JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), classes AS (
+  SELECT doc_id, min(other) AS class_id FROM reach GROUP BY ALL
+), counted AS (
+  SELECT a AS doc_id, count(*) AS n_links, count(DISTINCT b_texts) FILTER (WHERE apart) AS n_text_links FROM links GROUP BY ALL
+)
+SELECT doc_id, class_id, coalesce(min(doc_id) OVER (PARTITION BY coalesce(texts, doc_id::VARCHAR)), doc_id) AS text_class,
+       coalesce(n_links, 0) AS n_links, coalesce(n_text_links, 0) AS n_text_links
+FROM documents LEFT JOIN n USING (doc_id) JOIN classes USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""
+
+
+@query("op9_ngram_jaccard_join", OP9_SQL)
 def op9_ngram_jaccard_join(spark, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return link_groups(docs).select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), F.when(F.col("class_id") != LAST, F.col("class_id")).alias("class_id"),
