@@ -181,7 +181,8 @@ def candidate_stars(classes: DataFrame, members: int = 1024) -> DataFrame:
     crowded = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     placed = keyed.join(crowded, "bucket").withColumn("chunks", F.ceil(F.col("size") / members).cast("int"))
     grid = block_grid(placed, "bucket", F.pmod(F.xxhash64("node"), "chunks"), "chunks").select("node", "band", "block", "chunk", "within")
-    rows = grid.join(classes.select("node", "sig"), "node").repartition("block").sortWithinPartitions("block")
+    # in order of the nodes, so that the stars of all bands tend to have the same centre
+    rows = grid.join(classes.select("node", "sig"), "node").repartition("block").sortWithinPartitions("block", "node")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks_of(batches):
