@@ -199,8 +199,12 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     return predict(docs, fit(docs, text, lang, doc_id, **fitted), text)
 
 
-def language_stage(spark, docs: DataFrame, sf_dir: str, min_score: float = 0.3) -> DataFrame:
-    """Pipeline stage: documents in which no language stands out go; a missing ``lang`` is filled by the prediction."""
+def language_stage(spark, docs: DataFrame, sf_dir: str, min_score: float = 0.0) -> DataFrame:
+    """Pipeline stage: documents of no language go; a missing ``lang`` is filled by the prediction.
+
+    The learned languages share the whole probability, so a low score marks a short text rather than a foreign one; unless
+    ``min_score`` is raised, only ``und`` is rejected.
+    """
     named = identify(docs)
     known = named.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
     return known.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
