@@ -246,7 +246,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bo
 
     @F.pandas_udf(kinds)
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        key = (id(sent.value), pattern)
+        key = (hash(tuple(sent.value)), pattern)
         if key not in _codecs:
             _codecs.clear()
             _codecs[key] = Codec(sent.value, pattern)

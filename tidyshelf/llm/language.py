@@ -132,22 +132,25 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
-        sample_docs: int = 400, pieces: int = 8) -> ByteNet:
+        sample_docs: int = 400, pieces: int = 8, most_langs: int = 500) -> ByteNet:
     """Train on a bounded sample: about ``sample_docs`` labelled documents of each language, ``pieces`` places of each.
 
     The sample is all that reaches the driver: at most languages x sample_docs (give or take chance) x
-    pieces x one window of characters. Rows without text or language, and held-out rows, are never seen.
+    pieces x one window of characters; more than ``most_langs`` languages are refused. Rows without text or language, and held-out rows, are never seen.
     """
     usable = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).alias("l"), held_out(doc_id).alias("h")) \
         .where("not h and l is not null and t is not null").where(F.col("t").rlike(r"\p{L}"))
-    counts = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    counts = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}
+    if len(counts) > most_langs:
+        raise ValueError(f"more than {most_langs} languages are labelled")
     if not counts:
         return train([], ["und"])
     share = F.coalesce(*[F.when(F.col("l") == k, F.lit(min(1.0, sample_docs / n))) for k, n in sorted(counts.items())])
-    draw = F.pmod(F.xxhash64("d", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("d", "x", F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     places = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(
         F.col("t"), (F.floor(i * F.greatest(F.length("t") - WINDOW // 2, F.lit(0)) / F.lit(pieces)) + 1).cast("int"), F.lit(WINDOW)))
-    rows = usable.where(draw < share).select("d", "l", places.alias("p")).collect()
+    # a row that is there many times is drawn once, so the bound holds for any table
+    rows = usable.withColumn("x", F.xxhash64("t")).where(draw < share).select("d", "l", "x", places.alias("p")).dropDuplicates(["d", "l", "x"]).collect()
     rows.sort(key=lambda r: (r["l"], str(r["d"]), r["p"]))
     pairs = [(piece, r["l"]) for r in rows for piece in dict.fromkeys(r["p"]) if LETTER.search(piece)]
     pairs = pairs or [("a", sorted(counts)[0])]
