@@ -79,8 +79,11 @@ def hashed(vectors: DataFrame, tables: int, hashes: int, probes: int) -> DataFra
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.array(v, kind) for v in batch.column("vec").to_pylist()]
-            lengths = np.array([len(r) for r in rows])
+            lists = batch.column("vec")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
+            lengths = np.diff(lists.offsets.to_numpy())
+            ends = np.cumsum(lengths)
+            rows = [flat[e - n:e] for e, n in zip(ends, lengths)]
             codes: list = [None] * len(rows)
             for length in np.unique(lengths):
                 at = np.flatnonzero(lengths == length)
@@ -144,7 +147,8 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
     Equal vectors are one entry with its ``top`` + 1 least ids, which is all that any answer can need, so a vector held by a
     third of all rows weighs as one. Ties go to the smaller id. A query for which fewer than ``top`` are found is compared with
     all, in blocks. Null, zero and not finite vectors and null ids take no part; of rows alike in id and vector one does.
-    ``hashes`` to a table grows by itself with the number of vectors, so that a bucket holds some hundreds.
+    ``hashes`` to a table grows by itself with the number of vectors, so that a bucket holds some hundreds. The index holds
+    every distinct vector once for each table, as bytes, so that the exact distances are worked out where a bucket lies.
     """
     kind = np.float32 if dict(vectors.dtypes)[embedding] == "array<float>" else np.float64
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
