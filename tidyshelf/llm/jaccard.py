@@ -348,6 +348,6 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN classes USING (doc_id) LEFT JOIN
 
 @query("op9_ngram_jaccard_join", OP9_SQL)
 def op9_ngram_jaccard_join(spark, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return link_groups(docs).select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), F.when(F.col("class_id") != LAST, F.col("class_id")).alias("class_id"),
-                                    "text_class", "n_links", "n_text_links")
+    grouped = link_groups(table(spark, folder, "documents").select("doc_id", "text"))
+    given = lambda c: F.when(F.col(c) != LAST, F.col(c))  # the number that stands for a null id
+    return grouped.select(given("doc").alias("doc_id"), given("class_id").alias("class_id"), given("text_class").alias("text_class"), "n_links", "n_text_links")
