@@ -210,7 +210,11 @@ def candidate_stars(classes: DataFrame, members: int = 1024) -> DataFrame:
 
 def verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, text: str, doc_id: str,
              members: int = 256, held: int = 400_000) -> DataFrame:
-    """(node, docs, texts, root): links of exact similarity at least the threshold, summed in each block of a cluster."""
+    """(node, docs, texts, root): links of exact similarity at least the threshold, summed in each block of a cluster.
+
+    A cluster of m texts is cut into about m / ``members`` chunks, and a text goes once to each of them, since every pair has to
+    be looked at; a block holds two chunks, so no task grows with the cluster.
+    """
     sized = clusters.select("node", F.col("root").alias("cluster")).join(classes, "node")
     totals = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("n") / held)).cast("int").alias("chunks"))
     sized = sized.join(totals, "cluster")
