@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyshelf.llm.common import fresh, query, table
+from tidyshelf.llm.common import fresh, query, small_batches, table
 
 NONE = np.int32(2**31 - 1)
 BREAK = re.compile(r"\S(?= )")
@@ -257,7 +257,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bo
 
     made, = fresh(docs, "__bpe")
     names = [k.split()[0] for k in kinds.split(", ")]
-    return docs.withColumn(made, digest(F.col(text))) \
+    return small_batches(docs).withColumn(made, digest(F.col(text))) \
         .withColumns({n: F.col(f"{made}.{n}") for n in names}).drop(made)
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyshelf.llm.common import fresh, query, table
+from tidyshelf.llm.common import fresh, query, small_batches, table
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)([^>]*)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*\Z""", re.S)
@@ -344,7 +344,7 @@ def extract(pages: DataFrame, model: TreeModel, source: str = "html", text: str
             yield pd.Series([t for at in range(0, len(values), group) for t in main_texts(values[at:at + group], sent.value)], dtype=object)
 
     made, = fresh(pages, "__main")
-    return pages.withColumn(made, read(F.col(source))).withColumns({text: F.col(made), n_chars: F.length(made).cast("long")}).drop(made)
+    return small_batches(pages).withColumn(made, read(F.col(source))).withColumns({text: F.col(made), n_chars: F.length(made).cast("long")}).drop(made)
 
 
 @query("op2_html_extraction")

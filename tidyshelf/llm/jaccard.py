@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyshelf.llm.common import blocks_of, fixed, fresh, query, sift, table, whole
+from tidyshelf.llm.common import blocks_of, fixed, fresh, query, sift, small_batches, table, whole
 from tidyshelf.llm.components import components
 from tidyshelf.session import pin
 
@@ -166,7 +166,7 @@ def sketches(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 [batch.column("doc"), batch.column("body"), pa.array(nodes, pa.int64()), pa.array(counts, pa.int32()), pa.array(sigs, pa.binary())],
                 ["doc", "body", "node", "n", "sig"])
 
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(whole(text)).alias("body"), whole(text).alias("text"))
+    rows = small_batches(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(whole(text)).alias("body"), whole(text).alias("text"))
     return rows.mapInArrow(sketch, "doc long, body long, node long, n int, sig binary")
 
 

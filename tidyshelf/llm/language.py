@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyshelf.llm.common import fresh, query, table
+from tidyshelf.llm.common import fresh, query, small_batches, table
 
 WINDOW = 256
 PAD = 256
@@ -193,7 +193,7 @@ def predict(docs: DataFrame, net: ByteNet, text: str = "text", lang_pred: str =
             yield pd.DataFrame({"lang": names, "score": scores})
 
     made, = fresh(docs, "__language")
-    return docs.withColumn(made, name_language(F.col(text))) \
+    return small_batches(docs).withColumn(made, name_language(F.col(text))) \
         .withColumns({lang_pred: F.col(f"{made}.lang"), score: F.col(f"{made}.score")}).drop(made)
 
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyshelf.llm.common import fresh, query, table, whole
+from tidyshelf.llm.common import fresh, query, small_batches, table, whole
 
 # Element ids of the Matroska specification.
 EBML, VOID, CRC = 0x1A45DFA3, 0xEC, 0xBF
@@ -230,7 +230,7 @@ def padded(text: str, unit: int = 64) -> Column:
 
 def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """All columns of ``docs`` and the text's bytes as a Matroska file. Null is the empty text; equal texts give equal files."""
-    return docs.withColumn(media, F.pandas_udf(muxed, "binary")(padded(text)))
+    return small_batches(docs).withColumn(media, F.pandas_udf(muxed, "binary")(padded(text)))
 
 
 def read(media: DataFrame, column: str = "media", packets: str = "packets", cues: str = "cues", payload: str = "payload") -> DataFrame:
@@ -239,7 +239,7 @@ def read(media: DataFrame, column: str = "media", packets: str = "packets", cues
     A null file has none of them; a broken one has those before the break.
     """
     made, = fresh(media, "__demuxed")
-    return media.withColumn(made, F.pandas_udf(demuxed, f"packets array<{PACKET}>, cues int, payload binary")(F.col(column))).withColumns({packets: F.col(f"{made}.packets"), cues: F.col(f"{made}.cues"), payload: F.col(f"{made}.payload")}).drop(made)
+    return small_batches(media).withColumn(made, F.pandas_udf(demuxed, f"packets array<{PACKET}>, cues int, payload binary")(F.col(column))).withColumns({packets: F.col(f"{made}.packets"), cues: F.col(f"{made}.cues"), payload: F.col(f"{made}.payload")}).drop(made)
 
 
 def packet_table(media: DataFrame, key: str, column: str = "media") -> DataFrame:

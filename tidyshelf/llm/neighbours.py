@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidyshelf.llm.common import blocks_of, query, table
+from tidyshelf.llm.common import blocks_of, query, small_batches, table
 from tidyshelf.session import pin
 
 TABLES, PROBES = 16, 8
@@ -94,7 +94,7 @@ def hashed(vectors: DataFrame, tables: int, hashes: int, probes: int) -> DataFra
                 [batch.column("key"), batch.column("ids"), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(codes, pa.list_(pa.int64()))],
                 ["key", "ids", "vec", "buckets"])
 
-    out = vectors.select("key", "ids", "vec").mapInArrow(code, "key long, ids array<long>, vec binary, buckets array<long>")
+    out = small_batches(vectors).select("key", "ids", "vec").mapInArrow(code, "key long, ids array<long>, vec binary, buckets array<long>")
     # vectors of another length never meet
     return out.select("key", "ids", "vec", F.explode("buckets").alias("bucket")).withColumn("bucket", F.xxhash64("bucket", F.length("vec")))
 
