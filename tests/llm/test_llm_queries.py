@@ -42,7 +42,7 @@ def test_language_on_held_out_documents(spark):
     assert out.score.between(0, 1).all()
 
 
-def test_ids_equal_the_reference_library(spark, docs):
+def test_ids_equal_the_library(spark, docs):
     tokens = bpe.load_ranks(P.path(bpe.VOCABULARY))
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens) if t}, special_tokens={})
     for r in QUERIES["op4_byte_bpe"](spark, FOLDER).collect():
