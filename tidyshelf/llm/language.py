@@ -193,7 +193,8 @@ def predict(docs: DataFrame, net: ByteNet, text: str = "text", lang_pred: str =
             yield pd.DataFrame({"lang": names, "score": scores})
 
     made, = fresh(docs, "__language")
-    return small_batches(docs).withColumn(made, name_language(F.col(text))) \
+    once = name_language.asNondeterministic()  # a filter on the answer must not have it worked out a second time
+    return small_batches(docs).withColumn(made, once(F.col(text))) \
         .withColumns({lang_pred: F.col(f"{made}.lang"), score: F.col(f"{made}.score")}).drop(made)
 
 
