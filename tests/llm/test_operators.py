@@ -158,6 +158,21 @@ def test_rotations_keep_lengths_and_hashes_differ():
     assert np.array_equal(neighbours.buckets_of(x * 7, 4, 2, 3), codes)
 
 
+def test_several_hashes_to_a_table_still_find_the_neighbours(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    out = neighbours.nearest(df, F.col("vec_id") % 50 == 0, hashes=2).select("query_id", "vec_id").collect()
+    want = {(q, i) for q in range(0, 3000, 50) for i in np.argsort(((x - x[q]) ** 2).sum(axis=1), kind="stable")[1:11].tolist()}
+    assert len(out) == len(want) and len({tuple(r) for r in out} & want) >= 0.9 * len(want)
+
+
+def test_only_choices_that_can_be_nearest_are_looked_at():
+    assert neighbours.choices_of(2, 8, 4) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1), (2, 0), (3, 0)]
+    assert neighbours.choices_of(1, 3, 8) == [(0,), (1,), (2,)] and len(neighbours.choices_of(3, 128, 128)) < 5000
+
+
 # matroska
 
 def test_all_lacings_unknown_lengths_and_broken_files():

@@ -2,13 +2,13 @@
 
 A unit vector is turned by three rounds of random signs and a fast Hadamard transform; its hash is the nearest of the
 signed axes. Each table has rotations of its own. A query looks into the buckets of its nearest axes, and
-every vector found there is ranked by its exact distance.
+every vector found there is ranked by its exact distance. How many buckets it takes depends on the vectors, so a
+sample of the queries is compared with all of them first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from tidyshelf.llm.common import blocks_of, query, small_batches, table
 from tidyshelf.session import pin
 
 TABLES, PROBES = 16, 8
+#: Queries that are compared with all vectors to choose the hashes and probes, and the share of their neighbours to be met.
+SAMPLE, RECALL = 64, 0.95
 #: Vectors of a bucket that meet in one block; a larger bucket is several blocks.
 BLOCK = 2048
 
@@ -48,6 +50,14 @@ def axes(unit: np.ndarray, number: int, most: int) -> tuple[np.ndarray, np.ndarr
     return best, np.take_along_axis(near, best, axis=1)
 
 
+def choices_of(hashes: int, most: int, probes: int) -> list[tuple[int, ...]]:
+    """Ranks of axes, one for each hash, whose sum can be among the ``probes`` nearest: all of no higher ranks are as near."""
+    out: list = [((), 1)]
+    for _ in range(hashes):
+        out = [((*c, k), n * (k + 1)) for c, n in out for k in range(min(most, probes // n))]
+    return [c for c, _ in out]
+
+
 def buckets_of(vectors: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
     """Codes of the buckets of each row: ``probes`` for each table, nearest first.
 
@@ -59,7 +69,7 @@ def buckets_of(vectors: np.ndarray, tables: int, hashes: int, probes: int) -> np
     out = []
     for number in range(tables):
         found = [axes(unit, number * hashes + k, most) for k in range(hashes)]
-        choices = list(product(range(most), repeat=hashes))
+        choices = choices_of(hashes, most, probes)
         near = np.stack([sum(found[k][1][:, c] for k, c in enumerate(choice)) for choice in choices], axis=1)
         code = np.stack([sum(found[k][0][:, c].astype(np.int64) * wide**k for k, c in enumerate(choice)) for choice in choices], axis=1)
         order = np.argsort(-near, axis=1, kind="stable")[:, :probes]
@@ -140,6 +150,35 @@ def ranked(index: DataFrame, queries: DataFrame, most: int, kind: type) -> DataF
     return rows.mapInArrow(rank, "query long, key long, score double, ids array<long>")
 
 
+def met(pairs: list[tuple[np.ndarray, np.ndarray]], tables: int, hashes: int, probes: int) -> float:
+    """Share of (query, neighbour) whose neighbour lies in a bucket that the query looks into."""
+    found = 0
+    for length in {len(q) for q, _ in pairs}:
+        asking, base = (np.stack(x) for x in zip(*((q, v) for q, v in pairs if len(q) == length)))
+        seen, held = buckets_of(asking, tables, hashes, probes), buckets_of(base, tables, hashes, 1)
+        found += sum(bool(np.isin(a, b).any()) for a, b in zip(seen, held))
+    return found / max(len(pairs), 1)
+
+
+def probing(distinct: DataFrame, packed: DataFrame, top: int, tables: int, probes: int, hashes: int, wide: int, kind: type) -> tuple[int, int] | None:
+    """The hashes and probes that compare the fewest vectors and meet RECALL of a sample's true neighbours; None if only all vectors do.
+
+    At most SAMPLE queries, each with ``top`` neighbours, reach the driver.
+    """
+    few = distinct.where("asks").select("key").orderBy(F.xxhash64(F.lit("sample"), "key"), "key").limit(SAMPLE)
+    true = ranked(packed, packed.join(few, "key", "left_semi"), top + 1, kind).where("query <> key").select("query", "key", "score")
+    true = true.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "key"))).where(F.col("n") <= top).select("query", "key")
+    true = pin(true, "true")
+    wanted = true.select("key").union(true.select("query")).distinct()
+    vec = {r.key: np.asarray(r.vec, np.float64) for r in distinct.join(wanted, "key", "left_semi").select("key", "vec").collect()}
+    pairs = [(vec[r.query], vec[r.key]) for r in true.collect()]
+    steps = {(h, p) for h in range(hashes, 0, -1) for p in (probes, 4 * probes, 16 * probes) if tables * p <= wide**h} | {(hashes, probes)}
+    for h, p in sorted(steps, key=lambda s: (s[1] / wide**s[0], s)):
+        if not pairs or met(pairs, tables, h, p) >= RECALL:
+            return h, p
+    return None
+
+
 def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", top: int = 10,
             tables: int = TABLES, probes: int = PROBES, hashes: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest rows found for each query row, by Euclidean distance.
@@ -147,7 +186,9 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
     Equal vectors are one entry with its ``top`` + 1 least ids, which is all that any answer can need, so a vector held by a
     third of all rows weighs as one. Ties go to the smaller id. A query for which fewer than ``top`` are found is compared with
     all, in blocks. Null, zero and not finite vectors and null ids take no part; of rows alike in id and vector one does.
-    ``hashes`` to a table grows by itself with the number of vectors, so that a bucket holds some hundreds. The index holds
+    ``hashes`` to a table grows by itself with the number of vectors, so that a bucket holds some hundreds. It is an upper bound, and
+    ``probes`` a lower one: fewer and wider buckets or more probes are taken until a sample of the queries meets its true neighbours,
+    and if that would compare as many vectors as there are, all are compared. The index holds
     every distinct vector once for each table, as bytes, so that the exact distances are worked out where a bucket lies.
     """
     kind = np.float32 if dict(vectors.dtypes)[embedding] == "array<float>" else np.float64
@@ -162,12 +203,18 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
     ids = spread.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     distinct = keyed.groupBy("key").agg(F.first("vec").alias("vec"), F.max("asks").alias("asks"))
     distinct = pin(distinct.join(ids, "key"), "distinct")
+    count, size = distinct.agg(F.count("*"), F.max(F.size("vec"))).first()
     if hashes is None:
-        count, size = distinct.agg(F.count("*"), F.max(F.size("vec"))).first()
         hashes = max(1, round(np.log(max(count, 1) / 400) / np.log(max(2 * (size or 1), 4)))) if count else 1
-    index = pin(hashed(distinct, tables, hashes, 1), "index")
+    packed = distinct.select("key", "ids", packed_bytes(kind), F.xxhash64(F.size("vec")).alias("bucket"))
     asking = distinct.where("asks")
-    found = pin(ranked(index, hashed(asking, tables, hashes, probes), top + 1, kind).dropDuplicates(["query", "key"]), "found")
+    way = probing(distinct, packed, top, tables, probes, hashes, 2 << max(0, ((size or 1) - 1).bit_length()), kind)
+    if way is None:
+        found = ranked(packed, packed.join(asking.select("key"), "key", "left_semi"), top + 1, kind)
+    else:
+        index = pin(hashed(distinct, tables, way[0], 1), "index")
+        found = ranked(index, hashed(asking, tables, *way), top + 1, kind).dropDuplicates(["query", "key"])
+    found = pin(found, "found")
     asked = keyed.where("asks").select(F.col("id").alias("query_id"), F.col("key").alias("query")).distinct()
 
     def listed(pairs: DataFrame) -> DataFrame:
@@ -182,7 +229,6 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
                 .where(F.coalesce("n", F.lit(0)) < top).select("query_id", "query"), "short")
     if short.isEmpty():
         return answers
-    packed = distinct.select("key", "ids", packed_bytes(kind), F.xxhash64(F.size("vec")).alias("bucket"))
     again = packed.join(short.select(F.col("query").alias("key")).distinct(), "key", "left_semi")
     rest = listed(ranked(packed, again, top + 1, kind)).join(short.select("query_id"), "query_id", "left_semi")
     return answers.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest)
