@@ -39,6 +39,15 @@ def test_variants_within_one_document_do_not_recur(spark):
     assert rows(lines.drop_recurring_lines(docs), "n_dropped") == [(0,), (0,)]
 
 
+@pytest.mark.parametrize("n", [60, 1500])
+def test_fields_whose_values_recur_are_fields_at_any_size(spark, n):
+    rng = random.Random(n)
+    data = [(i, f"own words {i * 'x'}\nThis story was filed by Name{chr(65 + rng.randrange(50))} from the City{chr(65 + rng.randrange(52))} desk on monday") for i in range(n)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    left = [t for t, in rows(lines.line_stage(spark, docs, ""), "text")]
+    assert len(left) == n and sum("This story" in t for t in left) <= max(2, n // 20)
+
+
 # pages
 
 def test_held_out_pages():

@@ -15,6 +15,8 @@ from tidyshelf.llm.common import fresh, query, sift, table, whole
 from tidyshelf.session import pin
 
 LAST = 2**63 - 1
+#: A token of one level has so many times the texts of the level below; LEVELS reach to any size of table.
+STEP, LEVELS = 4, 20
 
 
 def masked(line: Column) -> Column:
@@ -32,8 +34,12 @@ def template_lines(docs: DataFrame, text: str, doc_id: str, depth: int) -> DataF
                          F.xxhash64(F.lit("line"), "shape").alias("key"))
 
 
-def recurring_templates(docs: DataFrame, lines: DataFrame, text: str, doc_id: str, min_docs: int, depth: int, min_fixed: float) -> DataFrame:
-    """(leaf, key, keep): the masked lines whose template recurs, and the document that keeps it. ``lines`` is pinned."""
+def recurring_templates(docs: DataFrame, lines: DataFrame, text: str, doc_id: str, min_docs: int, depth: int, min_fixed: float, levels: int) -> DataFrame:
+    """(leaf, key, keep): the masked lines whose template recurs, and the document that keeps it. ``lines`` is pinned.
+
+    A token is fixed at level 1 from ``min_docs`` texts on, and needs STEP times as many for each level more. Every line has a
+    template at each of its levels, so one of them tells the fields of a common template from its fixed tokens, whatever its size.
+    """
     # copies and repeats are folded before any count, so a hot line travels once per text
     seen = lines.groupBy("leaf", "key", "body").agg(F.min("doc").alias("doc")) \
         .groupBy("leaf", "key").agg(F.count("*").alias("texts"), F.min("doc").alias("first"))
@@ -47,15 +53,15 @@ def recurring_templates(docs: DataFrame, lines: DataFrame, text: str, doc_id: st
     held = sift(texts, holders, "doc")[0].join(holders, "doc", "left_semi").select("doc", "text")
     shapes = template_lines(held, "text", "doc", depth).join(members, ["leaf", "key"]).where("doc = first") \
         .groupBy("leaf", "key").agg(F.first("shape").alias("shape"), F.first("texts").alias("texts"))
-    tokens = shapes.select("leaf", "key", "texts", F.posexplode(F.split("shape", " ")).alias("at", "token"))
-    tokens = pin(tokens.select("leaf", "key", "texts", "at", F.xxhash64("at", "token").alias("token")), "tokens")
-    fixed = tokens.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("s")).where(F.col("s") >= min_docs).select("leaf", "at", "token", F.lit(1).alias("fixed"))
-    general = tokens.join(fixed, ["leaf", "at", "token"], "left").groupBy("leaf", "key").agg(
-        F.count("*").alias("n"), F.count("fixed").alias("fixed"),
-        F.bit_xor(F.when(F.col("fixed").isNotNull(), F.col("token"))).alias("a"),
-        F.bit_xor(F.when(F.col("fixed").isNotNull(), F.xxhash64(F.lit("b"), "token"))).alias("b"))
-    general = general.where((F.col("fixed") > 0) & (F.col("fixed") >= F.lit(min_fixed) * F.col("n"))) \
-        .select("leaf", "key", F.xxhash64("leaf", "fixed", "a", "b").alias("template"))
+    tokens = shapes.withColumn("split", F.split("shape", " ")).select("leaf", "key", "texts", F.size("split").alias("n"), F.posexplode("split").alias("at", "token"))
+    tokens = pin(tokens.select("leaf", "key", "texts", "n", "at", F.xxhash64("at", "token").alias("token")), "tokens")
+    fixed = tokens.groupBy("leaf", "at", "token").agg(F.sum("texts").alias("s")).where(F.col("s") >= min_docs)
+    reach = [F.col("s") >= min_docs * STEP**k for k in range(levels)]
+    fixed = fixed.select("leaf", "at", "token", sum((r.cast("int") for r in reach[1:]), reach[0].cast("int")).alias("top"))
+    general = tokens.join(fixed, ["leaf", "at", "token"]).withColumn("level", F.explode(F.sequence(F.lit(1), "top"))).groupBy("leaf", "key", "level").agg(
+        F.first("n").alias("n"), F.count("*").alias("fixed"), F.bit_xor("token").alias("a"), F.bit_xor(F.xxhash64(F.lit("b"), "token")).alias("b"))
+    general = general.where(F.col("fixed") >= F.lit(min_fixed) * F.col("n")) \
+        .select("leaf", "key", F.xxhash64("leaf", "level", "fixed", "a", "b").alias("template"))
     shared = general.groupBy("template").agg(F.count("*").alias("kinds")).where("kinds > 1").select("template")
     general = pin(general.join(shared, "template", "left_semi"), "general")
     wide = lines.join(general, ["leaf", "key"]).groupBy("template", "body").agg(F.min("doc").alias("doc")) \
@@ -66,17 +72,17 @@ def recurring_templates(docs: DataFrame, lines: DataFrame, text: str, doc_id: st
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 3, depth: int = 3,
-                         min_fixed: float = 0.8, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+                         min_fixed: float = 0.8, levels: int = 1, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """All columns of ``docs``, recurring lines taken out of the text, with the number of lines that are not blank and of those dropped.
 
     A template recurs if it is in at least ``min_docs`` different whole texts, so copies of a whole document
-    don't count against each other. Of equal ids the rows count as one document; null ids as one that comes
+    don't count against each other. One level is the rule of OP1_SQL; more find templates whose fields' values recur. Of equal ids the rows count as one document; null ids as one that comes
     last. Blank lines always stay. A null text stays null, an empty one empty; repeated rows stay, each with its lines. Nothing is
     gathered but the line numbers to drop of one document.
     """
     doc, body, dropped = fresh(docs, "__doc", "__body", "__dropped")
     lines = pin(template_lines(docs, text, doc_id, depth).drop("shape"), "lines")
-    recurring = recurring_templates(docs, lines, text, doc_id, min_docs, depth, min_fixed)
+    recurring = recurring_templates(docs, lines, text, doc_id, min_docs, depth, min_fixed, levels)
     gone = lines.join(recurring, ["leaf", "key"]).where("doc <> keep") \
         .groupBy(F.col("doc").alias(doc), F.col("body").alias(body)).agg(F.collect_set("pos").alias(dropped))
     gone = pin(gone, "gone")
@@ -93,7 +99,7 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without their recurring lines; one whose every line stays elsewhere goes."""
-    done = drop_recurring_lines(docs, n_lines="__lines", n_dropped="__gone")
+    done = drop_recurring_lines(docs, levels=LEVELS, n_lines="__lines", n_dropped="__gone")
     left = done.where("__gone = 0 or __lines > __gone")
     return left.select(*[F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c)
                          for c in docs.columns])
