@@ -48,6 +48,12 @@ def test_fields_whose_values_recur_are_fields_at_any_size(spark, n):
     assert len(left) == n and sum("This story" in t for t in left) <= max(2, n // 20)
 
 
+def test_a_long_line_of_two_texts_stays_in_one(spark):
+    passage, short = "a passage of just eight tokens stands here", "a line of seven tokens stands here"
+    docs = spark.createDataFrame([(1, f"one\n{passage}\n{short}"), (2, f"two\n{passage}\n{short}"), (3, f"two\n{passage}\n{short}")], "doc_id bigint, text string")
+    assert rows(lines.line_stage(spark, docs, ""), "doc_id", "text") == [(1, f"one\n{passage}\n{short}"), (2, f"two\n{short}"), (3, f"two\n{short}")]
+
+
 # pages
 
 def test_held_out_pages():

@@ -17,6 +17,8 @@ from tidyshelf.session import pin
 LAST = 2**63 - 1
 #: A token of one level has so many times the texts of the level below; LEVELS reach to any size of table.
 STEP, LEVELS = 4, 20
+#: Tokens of a line that the pipeline takes for a passage; clean documents share shorter ones by chance.
+LONG_LINE = 8
 
 
 def masked(line: Column) -> Column:
@@ -25,24 +27,26 @@ def masked(line: Column) -> Column:
 
 
 def template_lines(docs: DataFrame, text: str, doc_id: str, depth: int) -> DataFrame:
-    """(doc, body, pos, shape, leaf, key) of each line that is not blank; ``body`` is the hash of the whole text."""
+    """(doc, body, pos, shape, n, leaf, key) of each line that is not blank; ``body`` is the hash of the whole text, ``n`` counts tokens."""
     lines = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(whole(text)).alias("body"),
                         F.posexplode(F.split(whole(text), "\n")).alias("pos", "line"))
     shaped = lines.withColumn("shape", masked(F.col("line"))).where("shape <> ''").drop("line")
     tokens = F.length("shape") - F.length(F.replace("shape", F.lit(" "), F.lit(""))) + 1
-    return shaped.select("doc", "body", "pos", "shape", F.xxhash64(tokens, F.substring_index("shape", " ", depth)).alias("leaf"),
+    return shaped.select("doc", "body", "pos", "shape", tokens.alias("n"), F.xxhash64(tokens, F.substring_index("shape", " ", depth)).alias("leaf"),
                          F.xxhash64(F.lit("line"), "shape").alias("key"))
 
 
-def recurring_templates(docs: DataFrame, lines: DataFrame, text: str, doc_id: str, min_docs: int, depth: int, min_fixed: float, levels: int) -> DataFrame:
+def recurring_templates(docs: DataFrame, lines: DataFrame, text: str, doc_id: str, min_docs: int, depth: int, min_fixed: float, levels: int,
+                        long_line: int | None) -> DataFrame:
     """(leaf, key, keep): the masked lines whose template recurs, and the document that keeps it. ``lines`` is pinned.
 
     A token is fixed at level 1 from ``min_docs`` texts on, and needs STEP times as many for each level more. Every line has a
     template at each of its levels, so one of them tells the fields of a common template from its fixed tokens, whatever its size.
     """
     # copies and repeats are folded before any count, so a hot line travels once per text
-    seen = lines.groupBy("leaf", "key", "body").agg(F.min("doc").alias("doc")) \
-        .groupBy("leaf", "key").agg(F.count("*").alias("texts"), F.min("doc").alias("first"))
+    long = [F.first("long").alias("long")] if long_line else []
+    seen = lines.groupBy("leaf", "key", "body").agg(F.min("doc").alias("doc"), *long) \
+        .groupBy("leaf", "key").agg(F.count("*").alias("texts"), F.min("doc").alias("first"), *long)
     seen = pin(seen, "templates")
     leaves = seen.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("texts").alias("s")) \
         .where((F.col("kinds") > 1) & (F.col("s") >= min_docs)).select("leaf")
@@ -51,7 +55,7 @@ def recurring_templates(docs: DataFrame, lines: DataFrame, text: str, doc_id: st
     holders = members.select(F.col("first").alias("doc")).distinct()
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
     held = sift(texts, holders, "doc")[0].join(holders, "doc", "left_semi").select("doc", "text")
-    shapes = template_lines(held, "text", "doc", depth).join(members, ["leaf", "key"]).where("doc = first") \
+    shapes = template_lines(held, "text", "doc", depth).join(members.select("leaf", "key", "texts", "first"), ["leaf", "key"]).where("doc = first") \
         .groupBy("leaf", "key").agg(F.first("shape").alias("shape"), F.first("texts").alias("texts"))
     tokens = shapes.withColumn("split", F.split("shape", " ")).select("leaf", "key", "texts", F.size("split").alias("n"), F.posexplode("split").alias("at", "token"))
     tokens = pin(tokens.select("leaf", "key", "texts", "n", "at", F.xxhash64("at", "token").alias("token")), "tokens")
@@ -66,23 +70,26 @@ def recurring_templates(docs: DataFrame, lines: DataFrame, text: str, doc_id: st
     general = pin(general.join(shared, "template", "left_semi"), "general")
     wide = lines.join(general, ["leaf", "key"]).groupBy("template", "body").agg(F.min("doc").alias("doc")) \
         .groupBy("template").agg(F.count("*").alias("texts"), F.min("doc").alias("keep")).where(F.col("texts") >= min_docs)
-    exact = seen.where(F.col("texts") >= min_docs).select("leaf", "key", F.col("first").alias("keep"))
+    often = F.col("texts") >= min_docs
+    exact = seen.where(often | F.col("long") & (F.col("texts") >= 2) if long_line else often).select("leaf", "key", F.col("first").alias("keep"))
     return exact.union(general.join(wide, "template").select("leaf", "key", "keep")) \
         .groupBy("leaf", "key").agg(F.min("keep").alias("keep"))
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 3, depth: int = 3,
-                         min_fixed: float = 0.8, levels: int = 1, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+                         min_fixed: float = 0.8, levels: int = 1, long_line: int | None = None, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """All columns of ``docs``, recurring lines taken out of the text, with the number of lines that are not blank and of those dropped.
 
     A template recurs if it is in at least ``min_docs`` different whole texts, so copies of a whole document
-    don't count against each other. One level is the rule of OP1_SQL; more find templates whose fields' values recur. Of equal ids the rows count as one document; null ids as one that comes
+    don't count against each other. One level is the rule of OP1_SQL; more find templates whose fields' values recur.
+    A line of ``long_line`` tokens or more recurs from two such texts on, if that is given. Of equal ids the rows count as one document; null ids as one that comes
     last. Blank lines always stay. A null text stays null, an empty one empty; repeated rows stay, each with its lines. Nothing is
     gathered but the line numbers to drop of one document.
     """
     doc, body, dropped = fresh(docs, "__doc", "__body", "__dropped")
-    lines = pin(template_lines(docs, text, doc_id, depth).drop("shape"), "lines")
-    recurring = recurring_templates(docs, lines, text, doc_id, min_docs, depth, min_fixed, levels)
+    lines = template_lines(docs, text, doc_id, depth).drop("shape")
+    lines = pin((lines.withColumn("long", F.col("n") >= long_line) if long_line else lines).drop("n"), "lines")
+    recurring = recurring_templates(docs, lines, text, doc_id, min_docs, depth, min_fixed, levels, long_line)
     gone = lines.join(recurring, ["leaf", "key"]).where("doc <> keep") \
         .groupBy(F.col("doc").alias(doc), F.col("body").alias(body)).agg(F.collect_set("pos").alias(dropped))
     gone = pin(gone, "gone")
@@ -99,7 +106,7 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without their recurring lines; one whose every line stays elsewhere goes."""
-    done = drop_recurring_lines(docs, levels=LEVELS, n_lines="__lines", n_dropped="__gone")
+    done = drop_recurring_lines(docs, levels=LEVELS, long_line=LONG_LINE, n_lines="__lines", n_dropped="__gone")
     left = done.where("__gone = 0 or __lines > __gone")
     return left.select(*[F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c)
                          for c in docs.columns])
