@@ -92,3 +92,15 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def fixed(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     """One array from a column of binary values of whole numbers of items."""
     return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def stacked(column: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(positions, matrix of doubles) for each length of the column's lists; there are no nulls in it."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    lengths = np.diff(column.offsets.to_numpy())
+    starts = np.cumsum(lengths) - lengths
+    out = []
+    for length in np.unique(lengths):
+        rows = np.flatnonzero(lengths == length)
+        out.append((rows, flat[starts[rows][:, None] + np.arange(length)]))
+    return out
