@@ -55,6 +55,12 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{spark.sparkContext.applicationId}{inner}/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, wherever Spark can reach it; none there is fine."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def pinned(spark: SparkSession) -> Iterator[None]:
     """A scope for pinned tables: all that is pinned inside is removed at its end.
@@ -68,8 +74,7 @@ def pinned(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _scopes.remove(name)
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{inner}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{inner}")
 
 
 def pin(df: DataFrame, label: str = "pinned") -> DataFrame:
