@@ -18,6 +18,7 @@ CASES = {
     "noframe": (START + b"\xff\xdb\x00\x04ab", ("jpeg", None, None)), "cut": (START + FRAME[:6], ("jpeg", None, None)),
     "badcheck": (b"\x89PNG\r\n\x1a\x0b" + PNG[8:], (None, None, None)), "short": (PNG[:23], (None, None, None)),
     "text": (b"<html>this is no image at all</html>", (None, None, None)), "null": (None, (None, None, None)),
+    "tables": (START + b"\xff\xc4\x00\x06abcd\xff\xcc\x00\x04ab" + FRAME, ("jpeg", 99, 77)),
     "raw": (b"\xff\xd8\xff\xdb\x00\x10" + b"y" * 14 + FRAME, ("jpeg", 99, 77)),
 }
 
@@ -26,7 +27,7 @@ def test_headers(frame):
     df = frame([(name, bytearray(c) if c is not None else None) for name, (c, _) in CASES.items()], "name string, content binary")
     got = {r.name: (r.format, r.width, r.height) for r in j.image_sizes(df).collect()}
     assert got == {name: want for name, (_, want) in CASES.items()}
-    assert rows(j.image_inventory(df)) == [("gif", 1, 0), ("jpeg", 6, 2), ("png", 1, 0), (None, 4, 4)]
+    assert rows(j.image_inventory(df)) == [("gif", 1, 0), ("jpeg", 7, 2), ("png", 1, 0), (None, 4, 4)]
 
 
 SIZES = [("a", 400, 300), ("b", 100, 150), ("c", 90, 500), ("d", 90, 150)]

@@ -154,6 +154,29 @@ def test_known_content_and_paths(frame):
     assert rows(k.path_collisions(found)) == [("raw/cards/ff.png", 2)]
 
 
+def test_a_long_list_is_sifted_without_content(spark, frame):
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 50 = 7 THEN NULL ELSE concat('text ', id % 1000) END AS content").repartition(5)
+    deny = spark.range(0, 40000, 3).selectExpr("sha2(concat('text ', id), 512) AS digest").unionByName(frame([(None,)], "digest string"))
+    out = k.drop_known_content(df, "content", deny, few=10)
+    want = sorted(i for i in range(3000) if i % 50 == 7 or (i % 1000) % 3)
+    assert sorted(r.id for r in out.collect()) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    # every digest of the list passes the filter, and few others do
+    known = deny.where("digest is not null")
+    marks = k.known_filter(known, "digest", 1 << 18)
+    assert k.may_be_known(known, "digest", marks, 1 << 18, "may").where("not may").isEmpty()
+    others = spark.range(5000).selectExpr("sha2(concat('other ', id), 512) AS digest")
+    assert k.may_be_known(others, "digest", marks, 1 << 18, "may").where("may").count() < 500
+
+
+def test_more_hits_than_are_sent_to_all(spark, monkeypatch):
+    monkeypatch.setattr(k, "FEW", 5)
+    df = spark.range(300).selectExpr("id", "concat('t', id) AS content")
+    deny = spark.range(0, 300, 2).selectExpr("sha2(concat('t', id), 512) AS digest")
+    assert sorted(r.id for r in k.drop_known_content(df, "content", deny, few=5).collect()) == list(range(1, 300, 2))
+
+
 def test_max_ids(frame):
     got = k.max_ids({"a": frame([(1,), (5,)], "id int"), "b": frame([], "id int")})
     assert rows(got) == [("a", 5)]

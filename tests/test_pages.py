@@ -102,3 +102,70 @@ def test_references_and_an_empty_first_block(frame):
     assert row.section == "Ann\u2019s 'Deck' & more" and row.crumbs[0] == "Caf\u00e9"
     found = pages(frame, page).select(p.first_image(F.col("html"), F.lit("k"), {"k": "/fallback.png"}).alias("x"))
     assert found.first().x == "/y.png"
+
+
+QUOTED = """<html><!-- <div class="image"><img alt="gone" src="/gone.png"></div> --><script>var x = '<div class="image">';</script>
+<DIV id='gallerytitle' class='a b'><h2> <span><a href='/t'>Top</a> &raquo; </span><span><a href=/c>Caf&eacute;</a> | </span> Tier 2 </h2></DIV>
+<div class='wide image'><div class='image frame'><img src='/in.png' alt='Inner &rsquo;s'></div>
+<div><img src="/out.png" title="not > this alt='no'" alt = 'Outer'/></div></div>
+<div class="images"><img alt="no block" src="/x.png"></div>
+<div data-class="image"><img alt="none" src="/y.png"></div>
+<div class=image><a title='T' href="#"><img alt=Plain src=/p.png></a>
+<div class="album"><a href="sub/a.html"><img src="/a.png"></a><div class='albumdesc'><h3><a href='../up/./b.html#frag'> One <b>two</b></a></h3></div></div>"""
+
+
+def test_nested_blocks_and_any_quoting(frame):
+    df = p.read_pages(frame([(0, "http://h.org/x/y/p.html", QUOTED)], "page_id bigint, url string, html string"), p.NESTED)
+    assert rows(df, "section", "crumbs") == [("Tier 2", ["Top", "Caf\u00e9"])]
+    assert rows(p.source_items(df, "c", p.NESTED), "pos", "name", "image", "source") == [
+        (0, "Inner \u2019s", "/in.png", "Caf\u00e9"), (1, "Inner \u2019s", "/in.png", "Caf\u00e9"), (2, "Plain", "/p.png", "Caf\u00e9")]
+    assert rows(p.album_sources(df, "k", p.NESTED), "name", "image") == [("One two", "/a.png")]
+    assert rows(p.titled_items(df, "m", p.NESTED), "pos", "name") == [(0, None), (1, None), (2, "T")]
+    assert rows(p.page_links(df, p.NESTED)) == [(0, "item", 0, "../up/./b.html#frag")]
+    graph = p.page_graph(df, p.NESTED)
+    assert rows(graph, "address", "target_id") == [("http://h.org/x/up/b.html", None)]
+
+
+def test_both_ways_agree_on_plain_pages(frame):
+    df = pages(frame, gallery("Tier 3 of 4", ["Top", "Core", "Cards"], [("/a", "A", "/a.png"), ("/b", "B", "/b.png")], IMAGES, "/p2"), gallery("none", ["Top"]), "<html></html>", "")
+    again = p.read_pages(df.drop("section", "crumbs"), p.NESTED)
+    assert rows(again, "page_id", "section", "crumbs") == rows(df, "page_id", "section", "crumbs")
+    for build in (lambda d, t: p.source_items(d, "c", t), lambda d, t: p.titled_items(d, "c", t), lambda d, t: p.page_links(d, t), lambda d, t: p.album_sources(d, "k", t),
+                  lambda d, t: p.content_backs(d, "A", t), lambda d, t: p.variant_backs(d, "D", "back", t), lambda d, t: p.pivot_by_suffix(d, ["one"], t)[1],
+                  lambda d, t: p.pack_sources(d, "A", "x", "y", ["wave "], {}, t)):
+        assert rows(build(df, p.GALLERY)) == rows(build(again, p.NESTED))
+
+
+def test_elements_that_are_not_closed(frame):
+    html = "<div class=image><p>one<div class=image><br><p>two</div><ul><li>x<li>y</ul></b><img src=/1 alt=a><div class='image'>three"
+    df = frame([(html,)], "html string").select(F.explode(p.all_matches(F.col("html"), p.NESTED.image)).alias("b"))
+    assert [r.b for r in df.collect()] == [html, "<div class=image><br><p>two</div>", "<div class='image'>three"]
+
+
+def test_deep_and_wide_pages(frame):
+    deep = "<div class='image'>" * 200 + "x" + "</div>" * 200
+    wide = "".join(f"<div class='image'><img alt='{i}'></div>" for i in range(2000))
+    df = frame([(0, deep), (1, wide), (2, None)], "id int, html string").withColumn("b", p.all_matches(F.col("html"), p.NESTED.image))
+    assert [r.n for r in df.selectExpr("id", "size(b) AS n").orderBy("id").collect()][:2] == [200, 2000]
+    assert df.where("id = 1").first().b[1999] == "<div class='image'><img alt='1999'></div>"
+
+
+LINKS = {"g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y",
+         "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q", "g#s": "http://a/b/c/g", "g?y#s": "http://a/b/c/g?y", ";x": "http://a/b/c/;x", "g;x": "http://a/b/c/g;x",
+         "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/",
+         "../../g": "http://a/g", "../../../g": "http://a/g", "../../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.",
+         ".g": "http://a/b/c/.g", "g..": "http://a/b/c/g..", "./../g": "http://a/b/g", "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h",
+         "g;x=1/./y": "http://a/b/c/g;x=1/y", "g;x=1/../y": "http://a/b/c/y", "g?y/./x": "http://a/b/c/g?y/./x", "mailto:x@y": "mailto:x@y"}
+
+
+def test_links_are_resolved_as_the_standard_says(frame):
+    df = frame([(k,) for k in LINKS], "link string").withColumn("to", p.resolve_link(F.lit("http://a/b/c/d;p?q"), F.col("link")))
+    assert {r.link: r.to for r in df.collect()} == LINKS
+    assert frame([("x",)], "l string").select(p.resolve_link(F.lit("http://a"), F.col("l")).alias("x")).first().x == "http://a/x"
+
+
+def test_pages_are_followed_from_the_roots(frame):
+    site = {"http://h/": ["a", "b"], "http://h/a": ["/", "c"], "http://h/b": ["a#x"], "http://h/c": ["http://other/", "/"], "http://h/d": ["/"]}
+    df = frame([(i, u, "".join(f'<div class=album><div class=albumdesc><a href="{x}">t</a></div></div>' for x in to)) for i, (u, to) in enumerate(site.items())],
+               "page_id bigint, url string, html string")
+    assert rows(p.page_depths(df, df.where("page_id = 0").select("page_id"), p.NESTED)) == [(0, 0), (1, 1), (2, 1), (3, 2)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -201,14 +203,15 @@ def strip_to_int(col: Column, words: Sequence[str]) -> Column:
     return F.when(F.rlike(rest, F.lit(r"^[+-]?[0-9]+$")), rest.try_cast("bigint"))
 
 
-# Named character references decoded by default.
-NAMED_REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0"}
+#: The named character references of HTML that end with a semicolon, but for the ampersand's own.
+NAMED_REFERENCES = {f"&{name}": text for name, text in html5.items() if name.endswith(";") and text != "&"}
 
 
 def unescape_html(col: Column, named: Mapping[str, str] = NAMED_REFERENCES) -> Column:
     """Character references as their characters: all numeric ones, decimal or hex, and the named ones given.
 
-    ``&amp;`` comes last, so nothing is decoded twice. Numbers that stand for no character give the replacement character.
+    ``&amp;`` comes last, so nothing is decoded twice. Numbers that stand for no character give the replacement character, and
+    names without one stay as they are. The names are one constant of the plan, looked up for the references that a text holds.
     """
     found = F.array_distinct(F.regexp_extract_all(col, F.lit("&#([0-9]{1,9}|[xX][0-9a-fA-F]{1,8});"), 1))
 
@@ -221,4 +224,8 @@ def unescape_html(col: Column, named: Mapping[str, str] = NAMED_REFERENCES) -> C
 
     numbered = F.aggregate(found, col, lambda text, number: F.replace(text, F.concat(F.lit("&#"), number, F.lit(";")), character(number)))
     plain = F.when(F.contains(col, F.lit("&#")), numbered).otherwise(col)
-    return F.replace(strip_words(plain, dict(named)), F.lit("&amp;"), F.lit("&"))
+    characters = F.from_json(F.lit(json.dumps(dict(named))), "map<string,string>")
+    names = F.array_distinct(F.regexp_extract_all(plain, F.lit("&[A-Za-z][A-Za-z0-9]*;"), 0))
+    lettered = F.aggregate(names, plain, lambda text, name: F.replace(text, name, F.coalesce(F.try_element_at(characters, name), name)))
+    lettered = F.when(F.contains(plain, F.lit("&")), lettered).otherwise(plain)
+    return F.replace(F.replace(lettered, F.lit("&AMP;"), F.lit("&amp;")), F.lit("&amp;"), F.lit("&"))

@@ -15,6 +15,8 @@ from tidyshelf.session import pin
 PNG, GIF87, GIF89, JPEG_RAW = "89504E470D0A1A0A", "474946383761", "474946383961", "FFD8FFDB"
 JFIF, EXIF = "4A464946", "45786966"
 SHORTEST_HEADER = 24
+# Markers among those of frames that hold Huffman tables, an extension, and arithmetic conditioning.
+NO_FRAME = (0xC4, 0xC8, 0xCC)
 
 SIZE = T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())])
 
@@ -48,7 +50,7 @@ def _jpeg_frame(content: bytes) -> tuple[int, int] | None:
         if at + 3 > len(content):
             return None
         marker, length = content[at], int.from_bytes(content[at + 1:at + 3], "big")
-        if 0xC0 <= marker <= 0xCF:
+        if 0xC0 <= marker <= 0xCF and marker not in NO_FRAME:
             head = content[at + 4:at + 8]
             return (int.from_bytes(head[2:], "big"), int.from_bytes(head[:2], "big")) if len(head) == 4 else None
         at += 1 + max(length, 2)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tidyshelf.functions.encoding import record_hash
 from tidyshelf.functions.text import file_extension, literal_map
 from tidyshelf.operators.ordering import number_by_key, number_sorted
+from tidyshelf.session import pin
 
 
 def add_ids(df: DataFrame, *order: str, initial: int = -1, id_col: str = "id") -> DataFrame:
@@ -110,11 +111,56 @@ def content_hash(content: Column, bits: int = 512) -> Column:
     return F.sha2(content, bits)
 
 
+#: Digests that are sent to all tasks as they are; bits of the filter for each digest of a longer list, at most and at least, and
+#: bits of the largest filter (64 MB). A filter has chunks of CHUNK bits.
+FEW, BITS_EACH, MOST_BITS, CHUNK = 100_000, (16, 4), 1 << 29, 1 << 15
+
+
+def known_filter(digests: DataFrame, col: str, bits: int) -> DataFrame:
+    """``(bucket, bitmap)`` with a bit set for every digest; ``may_be_known`` asks it."""
+    mark = F.pmod(F.xxhash64(col), F.lit(bits)) + 1
+    return digests.select(F.bitmap_bucket_number(mark).alias("_bucket"), F.bitmap_bit_position(mark).alias("_bit")) \
+        .groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
+
+
+def may_be_known(df: DataFrame, col: str, marks: DataFrame, bits: int, out: str) -> DataFrame:
+    """``df`` with whether the filter has the bit of a row's digest: never false for a digest that is in it."""
+    mark = F.pmod(F.xxhash64(col), F.lit(bits)) + 1
+    at = F.bitmap_bit_position(mark)
+    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    asked = df.withColumn("_bucket", F.bitmap_bucket_number(mark)).join(F.broadcast(marks), "_bucket", "left")
+    is_set = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return asked.withColumn(out, F.coalesce(is_set, F.lit(False))).drop("_bucket", "_bitmap")
+
+
 def drop_known_content(df: DataFrame, content: str, denylist: DataFrame, digest: str = "digest",
-                       bits: int = 512) -> DataFrame:
-    """Drop rows whose content digest is on the list; the list is joined by whatever its size allows."""
-    known = denylist.select(F.col(digest).alias("_known")).distinct()
-    return df.join(known, content_hash(F.col(content), bits) == F.col("_known"), "left_anti")
+                       bits: int = 512, few: int = FEW) -> DataFrame:
+    """Drop rows whose content digest is on the list.
+
+    A list of at most ``few`` digests is sent to all tasks. A longer one becomes a filter of bits, which is (16 bits a digest and fewer where
+    there are very many, so its size is bounded); digests that may be on the list are looked up in it without their rows, and the
+    few that are there are sent to all tasks. Content is shuffled only where more than ``few`` digests of the table are on the
+    list, and then that of rows which may be on it. A stream is joined with the list by whatever its size allows. Rows without content stay.
+    """
+    known = denylist.select(F.col(digest).alias("_known")).where("_known is not null").distinct()
+    of = content_hash(F.col(content), bits)
+    if df.isStreaming:
+        return df.join(known, of == F.col("_known"), "left_anti")
+    known = pin(known, "known")
+    count = known.count()
+    if count <= few:
+        return df.join(F.broadcast(known), of == F.col("_known"), "left_anti")
+    size = -(-min(BITS_EACH[0] * count, MOST_BITS) // CHUNK) * CHUNK
+    if size < BITS_EACH[1] * count:
+        return df.join(known, of == F.col("_known"), "left_anti")
+    marks = pin(known_filter(known, "_known", size), "marks")
+    possible = may_be_known(df.select(of.alias("_digest")), "_digest", marks, size, "_may").where("_may").select("_digest").distinct()
+    hits = pin(possible.join(known, F.col("_digest") == F.col("_known"), "left_semi"), "hits")
+    if hits.count() <= max(few, FEW):
+        return df.join(F.broadcast(hits), of == F.col("_digest"), "left_anti")
+    flagged = may_be_known(df.withColumn("_of", of), "_of", marks, size, "_may")
+    rest = flagged.where("_may").join(hits, F.col("_of") == F.col("_digest"), "left_anti")
+    return flagged.where("not _may").unionByName(rest).drop("_of", "_may")
 
 
 def fingerprint_path(kind: Column, fingerprint: Column, name: Column, roots: Mapping[str, str]) -> Column:

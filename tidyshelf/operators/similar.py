@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidyshelf.operators.graph import linked_groups
+from tidyshelf.session import pin
+
 
 def dhash(values: Column, width: int) -> Column:
     """One bit per neighbouring pair in each row of a grid: set where the right value is larger.
@@ -62,3 +66,61 @@ def near_duplicates(df: DataFrame, col: str, order: str, bits: int, max_distance
     a = groups.select(F.col("hash").alias("hash_a"), F.col("copies").alias("copies_a"), F.col("first").alias("first_a"))
     b = groups.select(F.col("hash").alias("hash_b"), F.col("copies").alias("copies_b"), F.col("first").alias("first_b"))
     return pairs.join(a, "hash_a").join(b, "hash_b")
+
+
+#: Hashes that may share a key before the key is refined.
+CROWD = 1000
+
+
+def _parts(varying: Column, parts: int) -> Column:
+    """The set bits of a mask, dealt into so many masks."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftrightunsigned", varying, b).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    placed = F.transform(bits, lambda b, i: F.struct(b.alias("bit"), (i % parts).alias("part")))
+
+    def mask(part: Column) -> Column:
+        mine = F.filter(placed, lambda x: x["part"] == part)
+        return F.aggregate(mine, F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x["bit"])))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), mask)
+
+
+def close_pairs(hashes: DataFrame, col: str, max_distance: int, bits: int = 64, crowd: int = CROWD) -> DataFrame:
+    """``(hash_a, hash_b, distance)`` for distinct hashes at most ``max_distance`` bits apart, by pigeonhole.
+
+    Hashes meet under a key. Where more than ``crowd`` share one, the bits in which they differ are dealt into one part more than may
+    differ, and they meet under the parts instead: two close hashes agree in a part, so no pair is lost. This goes on as long as a
+    part tells more hashes apart than there are parts, which would else cost more than it saves. ``hash_a`` is the smaller signed
+    number. Null hashes take no part.
+    """
+    if not 0 < max_distance < bits <= 64:
+        raise ValueError("the distance must be at least 1 and less than the bits")
+    parts = max_distance + 1
+    worth = 1.5 * parts * log2(parts)
+    keyed = hashes.select(F.col(col).alias("hash")).where("hash is not null").distinct().withColumn("key", F.lit(0).cast("bigint"))
+    keyed, out = pin(keyed, "keyed"), None
+    while True:
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_or("hash").bitwiseXOR(F.bit_and("hash")).alias("varying"))
+        sizes = pin(sizes.where("n > 1").withColumn("crowded", (F.col("n") > crowd) & (F.bit_count("varying") > worth)), "sizes")
+        few = keyed.join(sizes.where("not crowded").select("key"), "key", "left_semi")
+        pairs = few.select(F.col("hash").alias("hash_a"), "key").join(few.select(F.col("hash").alias("hash_b"), "key"), "key").where("hash_a < hash_b") \
+            .select("hash_a", "hash_b", F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b"))).cast("int").alias("distance")).where(F.col("distance") <= max_distance)
+        out = pairs if out is None else out.unionByName(pairs)
+        crowded = sizes.where("crowded").select("key", _parts(F.col("varying"), parts).alias("masks"))
+        if crowded.isEmpty():
+            return out.distinct()
+        refined = keyed.join(crowded, "key").select("hash", "key", F.posexplode("masks").alias("part", "mask"))
+        keyed = pin(refined.select("hash", F.xxhash64("key", "part", F.col("hash").bitwiseAND(F.col("mask"))).alias("key")), "keyed")
+
+
+def look_alikes(df: DataFrame, col: str, order: str, max_distance: int, bits: int = 64, out: str = "group") -> DataFrame:
+    """``df`` with the hash that stands for all look-alikes of a row's hash: that of the group's first row by ``order``.
+
+    Hashes are alike if at most ``max_distance`` bits differ, or if a chain of such hashes leads from one to the other. Copies are
+    folded first. A null hash has a null group. Ties of ``order`` go to the lesser hash.
+    """
+    copies = pin(df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("hash")).agg(F.min(order).alias("first")), "copies")
+    groups = linked_groups(close_pairs(copies, "hash", max_distance, bits), "hash_a", "hash_b")
+    placed = copies.join(groups, F.col("hash") == F.col("member"))
+    stands = placed.groupBy("group").agg(F.min(F.struct("first", "hash"))["hash"].alias("_stands"))
+    named = placed.join(stands, "group").where("hash <> _stands").select("hash", "_stands")
+    return df.join(named, F.col(col) == F.col("hash"), "left").withColumn(out, F.coalesce("_stands", col)).drop("hash", "_stands")

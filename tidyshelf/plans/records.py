@@ -120,6 +120,15 @@ def d7(spark, sf):
     return k.drop_known_content(table(spark, sf, "documents"), "text", bad, bits=256).select("doc_id", "lang")
 
 
+@query("d7_large_denylist", """
+    SELECT doc_id, lang FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE source = 'src1')""")
+def d7_large(spark, sf):
+    """All texts of one source are on the list, which is sifted by a filter of bits however long it is."""
+    docs = table(spark, sf, "documents")
+    listed = docs.where("source = 'src1'").select(k.content_hash(F.col("text"), 256).alias("digest"))
+    return k.drop_known_content(docs, "text", listed, bits=256, few=0).select("doc_id", "lang")
+
+
 ROOTS = {"http": "raw/plain/", "https": "raw/secure/"}
 
 
@@ -197,6 +206,31 @@ def d9_near(spark, sf):
     return similar.near_duplicates(block_hashes(spark, sf), "hash", "vec_id", 12, 2)
 
 
+LIKE_SQL = f"""
+    WITH RECURSIVE h AS MATERIALIZED ({WIDE_SQL}), g AS (SELECT hash, min(vec_id) AS first FROM h GROUP BY hash),
+    links AS MATERIALIZED (SELECT a.hash AS a, b.hash AS b FROM g a JOIN g b ON a.hash <> b.hash AND bit_count(xor(a.hash, b.hash)) <= 16),
+    reached AS (SELECT hash AS a, hash AS b FROM g UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+    stands AS (SELECT a, arg_min(b, first) AS stands FROM reached JOIN g ON g.hash = b GROUP BY a)"""
+
+
+@query("d8_look_alikes", LIKE_SQL + """
+    SELECT vec_id, 'raw/' || lower(lpad(to_hex(stands), 16, '0')) || '.png' AS path FROM h JOIN stands ON a = hash""")
+def d8_look_alikes(spark, sf):
+    """One path for each group of look-alikes: the fingerprint of the group's first row."""
+    alike = similar.look_alikes(wide_hashes(spark, sf), "hash", "vec_id", 16)
+    path = k.fingerprint_path(F.lit("raw"), similar.hex_hash(F.col("group"), 64), F.lit("x.png"), {"raw": "raw/"})
+    return alike.select("vec_id", path.alias("path"))
+
+
+@query("d9_close_pairs", f"""
+    WITH h AS (SELECT DISTINCT hash FROM ({WIDE_SQL}))
+    SELECT a.hash AS hash_a, b.hash AS hash_b, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance
+    FROM h a JOIN h b ON a.hash < b.hash AND bit_count(xor(a.hash, b.hash)) <= 16""")
+def d9_close(spark, sf):
+    """Pairs of 64-bit hashes by pigeonhole, at a distance that literal neighbourhoods can not reach."""
+    return similar.close_pairs(wide_hashes(spark, sf), "hash", 16)
+
+
 @query("e1_resolve_fk", """
     WITH d AS (SELECT p_brand, row_number() OVER (ORDER BY p_partkey) - 1 AS id FROM part WHERE p_type = 'PROMO'),
     i AS (SELECT p_brand, max(id) AS brand_id FROM d GROUP BY p_brand)

@@ -60,6 +60,24 @@ def k2_first(spark, sf):
     return to_table(spark, s.first_arrivals(arriving(spark, sf, "events"), ["user_id", "event_type"], "event_id"))
 
 
+@query("k2_first_records", """
+    WITH gaps AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) + INTERVAL 6 HOURS THEN 1 ELSE 0 END AS starts FROM events),
+    runs AS (SELECT *, sum(starts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS run FROM gaps)
+    SELECT event_id, user_id, event_type, value FROM runs QUALIFY row_number() OVER (PARTITION BY user_id, event_type, run ORDER BY event_id) = 1""")
+def k2_records(spark, sf):
+    """The first event of every run of a user and kind, runs ending after six hours of silence.
+
+    A last row far in the future moves the watermark past everything.
+    """
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("at"))
+    end = events.agg(F.expr("max(at) + INTERVAL 1 YEAR").alias("at"))
+    folder = shared_path(spark, "events")
+    events.unionByName(end, allowMissingColumns=True).write.parquet(folder)
+    stream = spark.readStream.schema(events.schema).parquet(folder)
+    firsts = s.first_records(stream, ["user_id", "event_type"], "event_id", "at", "6 hours")
+    return to_table(spark, firsts.where("event_id IS NOT NULL").select("event_id", "user_id", "event_type", "value"))
+
+
 @query("k2_dedup_within_watermark", "SELECT DISTINCT user_id, event_type FROM events")
 def k2_watermark(spark, sf):
     """Keys remembered for a year of event time, which the given events do not exceed."""
@@ -84,6 +102,30 @@ def k3_resolve(spark, sf):
     return to_table(spark, s.resolve_arrivals(stream, ids, "name", "name_id"))
 
 
+EARLY_SQL = """
+    WITH dim AS (SELECT user_id, min(event_id) AS first_buy, min(ts) AS since FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+    SELECT event_id, e.user_id, first_buy, first_buy IS NULL AS unresolved
+    FROM events e LEFT JOIN dim ON dim.user_id = e.user_id AND since <= ts + INTERVAL 2 HOURS"""
+
+
+@query("k3_resolve_open_arrivals", EARLY_SQL)
+def k3_open(spark, sf):
+    """Events wait for two hours for the first purchase of their user; both arrive as streams, latest rows first.
+
+    A last row far in the future moves the watermark past everything.
+    """
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("at"))
+    buys = events.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("event_id").alias("first_buy"), F.min("at").alias("since"))
+    late = F.expr("max(at) + INTERVAL 1 YEAR")
+    end = events.agg(late.alias("at")).select(F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("bigint").alias("user_id"), "at")
+    facts, dims = (shared_path(spark, x) for x in ("facts", "dims"))
+    events.select("event_id", "user_id", "at").unionByName(end).write.parquet(facts)
+    buys.unionByName(end.select("user_id", F.col("event_id").alias("first_buy"), F.col("at").alias("since"))).write.parquet(dims)
+    streams = [spark.readStream.schema(spark.read.parquet(x).schema).parquet(x) for x in (facts, dims)]
+    out = s.resolve_open_arrivals(*streams, "user_id", "first_buy", "at", "since", "2 HOURS").where("event_id IS NOT NULL")
+    return to_table(spark, out.select("event_id", "user_id", "first_buy", "unresolved"))
+
+
 @query("k4_fan_out", "SELECT lang, source, doc_id, n_chars FROM documents")
 def k4(spark, sf):
     """The stream written by language and read back."""

@@ -12,6 +12,7 @@ from tidyshelf.plans.registry import query, table
 from tidyshelf.session import shared_path
 from tidyshelf.sources import collections as src
 from tidyshelf.sources import sinks
+from tidyshelf.sources.arrays import read_array
 from tidyshelf.sources.catalog import Catalog
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -50,6 +51,19 @@ def a1_files(spark, sf):
     return back.withColumn("place", place.cast("bigint")).drop("seq")
 
 
+@query("a1_read_array", """
+    SELECT doc_id, text, lang, source, n_chars, row_number() OVER (ORDER BY lang, doc_id) - 1 AS seq FROM documents""")
+def a1_array(spark, sf):
+    """Documents as one large array for each language, each in one file, read range by range."""
+    docs, folder = table(spark, sf, "documents"), shared_path(spark, "arrays")
+    ends = docs.groupBy("lang").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    line = F.concat(F.when(F.col("doc_id") == F.col("first"), "[").otherwise(","), F.to_json(F.struct(*docs.columns)),
+                    F.when(F.col("doc_id") == F.col("last"), "]").otherwise(""))
+    lines = docs.join(ends, "lang").select("lang", "doc_id", line.alias("value"))
+    lines.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(folder)
+    return read_array(spark, folder, docs.schema)
+
+
 @query("a2_explode_wrapped", """
     WITH lines AS (SELECT doc_id, lang, string_split(text, chr(10)) AS parts FROM documents),
     rows AS (SELECT doc_id, lang, unnest(parts) AS name, generate_subscripts(parts, 1) AS i FROM lines)
@@ -120,6 +134,26 @@ def a5(spark, sf):
     return catalog.summary()
 
 
+@query("a5_round_trip", """
+    SELECT n_name, r_name, count(*) AS customers, CAST(sum(CAST(c_acctbal * 100 AS BIGINT)) AS BIGINT) AS cents
+    FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_acctbal > 0 GROUP BY ALL
+    UNION ALL SELECT 'version 1', NULL, count(*), NULL FROM customer""")
+def a5_round_trip(spark, sf):
+    """A catalogue is saved, opened, changed and saved in place; the version before can still be read."""
+    home = shared_path(spark, "catalog")
+    Catalog.load(spark, sf, ["region", "nation", "customer"]).commit(home)
+    catalog = Catalog.open(spark, home)
+    catalog.add("customer", catalog["customer"].where("c_acctbal > 0").drop("c_name"))
+    catalog.commit()
+    now, before = Catalog.open(spark, home), Catalog.open(spark, home, 1)
+    nations = now["nation"].join(now["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    out = now["customer"].join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", "r_name").agg(
+        F.count("*").alias("customers"), F.sum((F.col("c_acctbal") * 100).cast("bigint")).alias("cents"))
+    old = before["customer"].agg(F.count("*").alias("customers")).select(
+        F.lit("version 1").alias("n_name"), F.lit(None).cast("string").alias("r_name"), "customers", F.lit(None).cast("bigint").alias("cents"))
+    return out.unionByName(old)
+
+
 @query("a6_append_records", """
     SELECT c_name AS name, c_nationkey AS nation, c_acctbal AS balance, c_mktsegment AS segment FROM customer
     UNION ALL SELECT s_name, s_nationkey, s_acctbal, NULL FROM supplier""")
@@ -170,6 +204,20 @@ def a10(spark, sf):
         F.min("pk").alias("least"), F.max("pk").alias("most"))
 
 
+@query("a10_update_overrides", f"""
+    WITH old AS ({ANSWERS_SQL}),
+    new AS (SELECT 'documents' AS source, 'quality' AS field, CAST(doc_id AS VARCHAR) AS pk, source AS value FROM documents WHERE source = 'src2')
+    SELECT * FROM new UNION ALL SELECT * FROM old WHERE (field, pk) NOT IN (SELECT field, pk FROM new)""")
+def a10_update(spark, sf):
+    """A memory kept in place takes new answers for the documents of one source."""
+    folder = shared_path(spark, "memory")
+    sinks.update_overrides(spark, folder, label_answers(spark, sf).withColumn("version", F.lit(1)), shards=16)
+    new = table(spark, sf, "documents").where("source = 'src2'").select(
+        F.lit("documents").alias("source"), F.lit("quality").alias("field"), F.col("doc_id").cast("string").alias("pk"), F.col("source").alias("value"), F.lit(2).alias("version"))
+    sinks.update_overrides(spark, folder, new)
+    return src.read_overrides(spark.read.schema(src.MEMORY_SCHEMA).json(folder)).select("source", "field", "pk", "value")
+
+
 @query("b1_rename_field", "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment, c_name AS name FROM customer")
 def b1(spark, sf):
     return f.rename_field(f.rename_field(table(spark, sf, "customer"), "c_name", "name"), "absent", "other")

@@ -65,6 +65,42 @@ def i3(spark, sf):
     return p.page_links(table(spark, sf, "pages"), MENU)
 
 
+# The same entries by the paths of their elements.
+PATHS = p.Template(
+    heading=p.Text((p.Element("h1"),), own=True), crumb=p.Text((p.Element("nav"), p.Element("a"))),
+    album=p.Markup((p.Element("nav"), p.Element("li"))), image=p.Markup((p.Element("nav"), p.Element("li"))),
+    item_link=p.Attribute((p.Element("nav"), p.Element("li"), p.Element("a")), "href"), next_link=p.Attribute((p.Element("nav"), p.Element("b"), p.Element("a")), "href"),
+    text=p.Text((p.Element("a"),)), title=p.Attribute((p.Element("a"),), "title"), alt=p.Text((p.Element("a"),)), src=p.Attribute((p.Element("a"),), "href"))
+
+
+@query("i3_page_graph", PAGES_SQL + """, e AS (SELECT i.page_id, 'item' AS kind, pos, image AS target, regexp_extract(url, '^(https?://[^/?#]*)', 1) || image AS address
+        FROM i JOIN pages USING (page_id)),
+    a AS (SELECT regexp_replace(url, '#.*', '') AS address, min(page_id) AS target_id FROM pages GROUP BY ALL)
+    SELECT e.*, target_id FROM e LEFT JOIN a USING (address)""")
+def i3_graph(spark, sf):
+    """The menu's links as absolute addresses, with the pages that have them."""
+    return p.page_graph(table(spark, sf, "pages"), PATHS)
+
+
+@query("i3_page_depths", """
+    WITH RECURSIVE p AS (SELECT page_id, 'http://h.example' || regexp_extract(html, '<li><a href="([^"]*)"', 1) AS url, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS links FROM pages),
+    a AS (SELECT url, min(page_id) AS id FROM p GROUP BY url),
+    e AS MATERIALIZED (SELECT DISTINCT l.page_id, id FROM (SELECT page_id, 'http://h.example' || unnest(links) AS url FROM p) l JOIN a USING (url)),
+    d AS (SELECT min(page_id) AS page_id, 0 AS depth FROM pages UNION SELECT e.id, depth + 1 FROM d JOIN e USING (page_id) WHERE depth < 40)
+    SELECT page_id, min(depth) AS depth FROM d GROUP BY page_id""")
+def i3_depths(spark, sf):
+    """Pages stand at the address of their own first entry, and are followed from the first of them."""
+    pages = table(spark, sf, "pages")
+    first = F.regexp_extract("html", '<li><a href="([^"]*)"', 1)
+    return p.page_depths(pages.withColumn("url", F.concat(F.lit("http://h.example"), first)), pages.agg(F.min("page_id").alias("page_id")), PATHS)
+
+
+@query("i5_nested_items", PAGES_SQL + "SELECT page_id, pos, 'command-cards' AS type, name, image, crumbs[-1] AS source FROM i")
+def i5_nested(spark, sf):
+    """The same records as those of ``i5_source_items``, by paths instead of expressions."""
+    return p.source_items(read(spark, sf, PATHS), "command-cards", PATHS)
+
+
 def routes():
     section, first = F.lower("section"), F.lower(p.crumb(1))
     return [("listing", F.size("crumbs") == 0), ("deck", F.startswith(first, F.lit("th"))),

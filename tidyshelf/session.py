@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -61,6 +62,49 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def file_names(spark: SparkSession, folder: str) -> list[str]:
+    """The names of what lies in a folder; none if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file, read by the driver."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    source = files.open(at)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that appears as a whole; False, and nothing is changed, if there is one already."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    at = hadoop.Path(path)
+    files = at.getFileSystem(conf)
+    draft = hadoop.Path(at.getParent(), f".{at.getName()}.{uuid.uuid4().hex}")
+    out = files.create(draft, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    try:
+        to = files.makeQualified(at)
+        hadoop.FileContext.getFileContext(to.toUri(), conf).rename(files.makeQualified(draft), to, spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+    except Py4JJavaError as error:
+        files.delete(draft, False)
+        if not files.exists(at):
+            raise
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
 @contextmanager
 def pinned(spark: SparkSession) -> Iterator[None]:
     """A scope for pinned tables: all that is pinned inside is removed at its end.

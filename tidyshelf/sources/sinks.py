@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidyshelf.operators.quality import merge_answers
+from tidyshelf.session import file_names, pin, put_new, read_small
+from tidyshelf.sources.collections import MEMORY_SCHEMA, read_overrides
+
 
 def write_by_type(df: DataFrame, type_col: str, folder: str, orders: Mapping[str, Sequence[str]] | None = None,
                   known: Sequence[str] = (), seq: str | None = None, fmt: str = "json", mode: str = "append") -> DataFrame:
@@ -62,6 +66,34 @@ def write_overrides(df: DataFrame, folder: str, entries: int = 5000) -> None:
     pack_overrides(df, entries).select("memory").write.mode("overwrite").json(folder)
 
 
+def update_overrides(spark: SparkSession, folder: str, new: DataFrame, skip: str | None = "", shards: int = 256, entries: int = 5000) -> list[int]:
+    """Merge new answers into a memory kept in place, and return the shards that were written.
+
+    Keys are dealt over a number of shards that the folder keeps from its first use on, whatever ``shards`` says later. Only shards
+    of new answers are read, merged as in ``merge_answers`` and replaced; each has documents of about ``entries`` answers, which
+    ``read_overrides`` takes. Nothing is replaced before all new documents are written. One writer at a time.
+    """
+    put_new(spark, f"{folder.rstrip('/')}/_shards", str(shards))
+    shards = int(read_small(spark, f"{folder.rstrip('/')}/_shards"))
+    shard = F.pmod(F.xxhash64("source", "field", "pk"), F.lit(shards)).cast("int").alias("shard")
+    new = pin(new.select("source", "field", "pk", "value", "version") if skip is None else
+              new.where(~F.col("value").eqNullSafe(skip)).select("source", "field", "pk", "value", "version"), "answers")
+    touched = sorted(r.shard for r in new.select(shard).distinct().collect())
+    if not touched:
+        return []
+    present = {n for n in file_names(spark, folder) if n.startswith("shard=")}
+    old = [f"{folder.rstrip('/')}/shard={s}" for s in touched if f"shard={s}" in present]
+    memory = read_overrides(spark.read.schema(MEMORY_SCHEMA).json(old)) if old else new.limit(0)
+    merged = pin(merge_answers(memory.select("source", "field", "pk", "value"), new, skip=None).withColumn("shard", shard), "merged")
+    parts = -(-merged.groupBy("shard").count().agg(F.max("count")).first()[0] // entries)
+    answers = merged.groupBy("shard", F.pmod(F.xxhash64("pk"), F.lit(parts)).alias("part"), "source", "field").agg(
+        F.map_from_entries(F.collect_list(F.struct("pk", "value"))).alias("answers"))
+    packed = answers.select("shard", F.create_map("source", F.create_map("field", "answers")).alias("memory"))
+    packed.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false") \
+        .partitionBy("shard").json(folder)
+    return touched
+
+
 def append_records(df: DataFrame, new: DataFrame) -> DataFrame:
     """Records added at the end; columns one side lacks are null."""
     return df.unionByName(new, allowMissingColumns=True)

@@ -38,7 +38,7 @@ def first_arrivals(stream: DataFrame, keys: Sequence[str], order: str) -> DataFr
     """The whole first record per key: of the batch in which the key is first seen, the one of least ``order``.
 
     State is one flag per key, kept for the whole run. A batch's records of one key pass through one task, chunk
-    by chunk, and only the least is held.
+    by chunk, and only the least is held; a batch of null orders alone keeps the first of them. ``first_records`` bounds the state.
     """
     names = stream.columns
 
@@ -54,6 +54,19 @@ def first_arrivals(stream: DataFrame, keys: Sequence[str], order: str) -> DataFr
     return stream.groupBy(*keys).applyInPandasWithState(least, stream.schema, "seen boolean", "append", "NoTimeout")
 
 
+def first_records(stream: DataFrame, keys: Sequence[str], order: str, event_time: str, gap: str, delay: str = "0 seconds") -> DataFrame:
+    """The whole first record per key by ``order``, with bounded state.
+
+    Records of a key belong together as long as no ``gap`` lies between their event times; of each such run the record of least order
+    passes, once the watermark (``delay`` behind the latest event time) is past the run and its gap, and the key is forgotten. So
+    the result does not depend on how records fall into batches, and a copy after the gap passes again. Later records than the
+    watermark are dropped. Records are combined before they are shuffled, so a hot key is no hot task.
+    """
+    least = F.min_by(F.struct(*stream.columns), F.col(order)).alias("_first")
+    runs = stream.withWatermark(event_time, delay).groupBy(*keys, F.session_window(event_time, gap).alias("_run")).agg(least)
+    return runs.select("_first.*")
+
+
 def drop_known_arrivals(stream: DataFrame, content: str, denylist: DataFrame, bits: int = 512) -> DataFrame:
     """Stream-static anti join with the list of known digests."""
     return drop_known_content(stream, content, denylist, bits=bits)
@@ -68,6 +81,28 @@ def resolve_arrivals(stream: DataFrame, ids: DataFrame, name: str, out: str) ->
     )
 
 
+def resolve_open_arrivals(facts: DataFrame, dims: DataFrame, name: str, out: str, at: str, since: str, wait: str,
+                          delay: str = "0 seconds", salts: int = 16) -> DataFrame:
+    """Facts with the id of their name, in whatever order facts and dimension rows arrive.
+
+    A fact whose name is not known yet stays open until the dimension row comes. It is given up, and passes with ``unresolved`` set,
+    once the watermark of both streams (the latest event time less ``delay``) is ``wait`` past the fact's own time ``at``; a dimension
+    row whose own time ``since`` is later than that no longer counts, whether or not the fact is still open. The result is thus
+    that of a batch join with the same condition. Facts without a name pass at that point, too, and are not unresolved.
+
+    Dimension rows are remembered for good, open facts for ``wait``. ``dims`` has one row per name. A hot name's facts are dealt over
+    ``salts`` tasks, by their time; each dimension row is copied to all of them.
+    """
+    salt = F.pmod(F.xxhash64(at), F.lit(salts)).cast("int")
+    held = facts.withWatermark(at, delay).withColumn("_salt", salt)
+    known = dims.select(F.col(name).alias("_name"), F.col(out).alias("_id"), F.col(since).alias("_since")).withWatermark("_since", delay) \
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    meets = (F.col(name) == F.col("_name")) & (F.col("_salt") == F.col("_part")) & (F.col("_since") <= F.col(at) + F.expr(f"INTERVAL {wait}"))
+    joined = held.join(known, meets, "left")
+    return joined.withColumn(out, F.col("_id")).withColumn("unresolved", F.col(name).isNotNull() & F.col("_name").isNull()) \
+        .drop("_salt", "_name", "_id", "_since", "_part")
+
+
 def start_fan_out(stream: DataFrame, type_col: str, folder: str, checkpoint: str,
                   orders: Mapping[str, Sequence[str]] | None = None, seq: str | None = None,
                   fmt: str = "json", available_now: bool = True):
