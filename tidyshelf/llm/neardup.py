@@ -33,8 +33,8 @@ GROUPS, BLOCK, ASKING = 8, 4096, 16384
 SAMPLE = 10_000
 #: Cuts of a projection; a cell uses some of them.
 CUTS = 16
-#: Pairs that are in memory at a time.
-PAIRS = 1 << 20
+#: Pairs that are in memory at a time, and those whose projections are.
+PAIRS, ROWS = 1 << 18, 1 << 13
 
 
 @functools.cache
@@ -50,12 +50,17 @@ def groups_of(dim: int, most: int) -> list[np.ndarray]:
 
 
 def half_width(dim: int, threshold: float, most: int) -> float:
-    """Half the width of a window; a little more than the bound, for rounding."""
-    return float(np.sqrt(max(0.0, 2 - 2 * threshold) / len(groups_of(dim, most)))) + 1e-9
+    """Half the width of a window; a little more than the bound, for projections are rounded."""
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold) / len(groups_of(dim, most)))) + 1e-6
 
 
 def projected(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True) @ rotation(vectors.shape[1])
+    """The projections of each row; summed up one by one, so that a row's are the same wherever they are worked out."""
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    out = np.zeros_like(unit)
+    for axis, row in enumerate(rotation(vectors.shape[1])):
+        out += unit[:, axis:axis + 1] * row
+    return out.astype(np.float32)
 
 
 def ragged(lengths: np.ndarray) -> np.ndarray:
@@ -116,47 +121,52 @@ def in_cells(distinct: DataFrame, cuts: dict[int, np.ndarray], threshold: float,
     return out.withColumn("cell", F.xxhash64("kin", "grp", "code")).drop("kin", "code")
 
 
-def meets(asking: tuple[np.ndarray, np.ndarray], lying: tuple[np.ndarray, np.ndarray], own: list[int], threshold: float, groups: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def meets(asking: tuple[np.ndarray, np.ndarray], lying: tuple[np.ndarray, np.ndarray], group: int, threshold: float, groups: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row of the first, row of the second) of the pairs whose cosine reaches the threshold, in parts.
 
-    A pair is looked at in the first group whose windows all collide, and so comes up once. In a group, the second side is sorted by
-    a projection, the first side's windows are runs of it, and the other projections thin the pairs out.
+    A pair is looked at in the first group whose windows all collide, and so comes up once; where the space is not cut (group -1), all
+    projections are one group, whose windows are as wide as one group needs. The second side is sorted by the group's first
+    projection, the first side's windows are runs of it, and the group's other projections thin the pairs out, before all collisions are
+    counted. Of two vectors that ask for each other, the one with the lesser first projection finds the other (equal: the lesser key).
     """
     (keys, vectors), (base_keys, base) = asking, lying
     dim = vectors.shape[1]
-    width, parts = half_width(dim, threshold, groups), groups_of(dim, groups)
-    left, right = np.ascontiguousarray(projected(vectors).T), np.ascontiguousarray(projected(base).T)
+    parts, index = groups_of(dim, groups if group >= 0 else 1), half_width(dim, threshold, groups if group >= 0 else 1)
+    left, right = projected(vectors), projected(base)
+    columns = parts[max(group, 0)]
+    order = np.argsort(right[:, columns[0]], kind="stable")
+    right, base_keys, base = right[order], base_keys[order], base[order]
+    by_left, by_right = np.ascontiguousarray(left[:, columns].T), np.ascontiguousarray(right[:, columns].T)
     norms, base_norms = np.linalg.norm(vectors, axis=1), np.linalg.norm(base, axis=1)
-    for group in own:
-        lead = max(parts[group], key=lambda c: right[c].std())
-        order = np.argsort(right[lead], kind="stable")
-        low, high = (np.searchsorted(right[lead][order], left[lead] + by, how) for by, how in ((-width, "left"), (width, "right")))
-        ends = np.cumsum(high - low)
-        start = 0
-        while start < len(keys):
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
-            n = (high - low)[start:stop]
-            i = np.repeat(np.arange(start, stop), n)
-            j = order[np.repeat(low[start:stop], n) + ragged(n)]
-            start = stop
-            keep = keys[i] != base_keys[j]
-            i, j = i[keep], j[keep]
-            for c in parts[group]:
-                if c != lead:
-                    keep = np.abs(left[c][i] - right[c][j]) <= width
-                    i, j = i[keep], j[keep]
-            for earlier in parts[:group]:
-                full = np.ones(len(i), bool)
-                for c in earlier:
-                    full &= np.abs(left[c][i] - right[c][j]) <= width
-                i, j = i[~full], j[~full]
-            count = np.zeros(len(i), np.int32)
-            for c in range(dim):
-                count += np.abs(left[c][i] - right[c][j]) <= width
-            keep = count >= dim - len(parts) + 1
-            i, j = i[keep], j[keep]
-            keep = np.einsum("nd,nd->n", vectors[i], base[j]) / (norms[i] * base_norms[j]) >= threshold
-            yield i[keep], j[keep]
+    width, least = half_width(dim, threshold, groups), dim - len(groups_of(dim, groups)) + 1
+    low, high = np.searchsorted(by_right[0], by_left[0], "left"), np.searchsorted(by_right[0], by_left[0] + np.float32(index), "right")
+    ends = np.cumsum(high - low)
+    start = 0
+    while start < len(keys):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+        n = (high - low)[start:stop]
+        i = np.repeat(np.arange(start, stop, dtype=np.int32), n)
+        j = (np.repeat(low[start:stop], n) + ragged(n)).astype(np.int32)
+        start = stop
+        for c in range(1, len(columns)):  # as long as it thins them out
+            near = np.abs(by_left[c][i] - by_right[c][j]) <= index
+            before = len(i)
+            i, j = i[near], j[near]
+            if len(i) > 0.95 * before:
+                break
+        keep = (by_left[0][i] < by_right[0][j]) | (by_left[0][i] == by_right[0][j]) & (keys[i] < base_keys[j])
+        keep &= keys[i] != base_keys[j]
+        i, j = i[keep], j[keep]
+        for at in range(0, len(i), ROWS):
+            a, b = i[at:at + ROWS], j[at:at + ROWS]
+            apart = np.abs(left[a] - right[b])
+            collides = apart <= index
+            keep = collides[:, parts[max(group, 0)]].all(axis=1) & ((apart <= width).sum(axis=1) >= least)
+            for earlier in parts[:max(group, 0)]:
+                keep &= ~collides[:, earlier].all(axis=1)
+            a, b = a[keep], b[keep]
+            keep = np.einsum("nd,nd->n", vectors[a], base[b]) / (norms[a] * base_norms[b]) >= threshold
+            yield a[keep], order[b[keep]]
 
 
 def hooked(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -231,10 +241,10 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                 base, asking = slice(start, middle), slice(middle, end)
                 nodes, place = np.unique(keys[start:end], return_inverse=True)
                 root, linked, counts = np.arange(len(nodes)), np.zeros(len(nodes), bool), np.zeros(len(nodes), np.int64)
-                own = list(range(len(groups_of(raw.shape[1], groups)))) if grp[start] < 0 else [int(grp[start])]
-                for i, j in meets((keys[asking], raw[middle - start:]), (keys[base], raw[:middle - start]), own, threshold, groups):
+                for i, j in meets((keys[asking], raw[middle - start:]), (keys[base], raw[:middle - start]), int(grp[start]), threshold, groups):
                     a, b = place[middle - start:][i], place[:middle - start][j]
                     np.add.at(counts, a, copied[base][j])
+                    np.add.at(counts, b, copied[asking][i])
                     linked[a] = linked[b] = True
                     root = hooked(root, a, b)
                 for column, values in zip(out, (nodes[linked], nodes[root[linked]], counts[linked])):
