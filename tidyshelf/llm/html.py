@@ -30,7 +30,8 @@ SENTENCE = re.compile(r"[.!?…。！？](?:\s|$|[\"'»”)])")
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template textarea title iframe svg select button object canvas audio video math datalist".split())
+RAW = frozenset("script style noscript textarea title iframe".split())
+UNSEEN = frozenset("template svg select button object canvas audio video datalist annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output progress q s "
                    "samp small span strike strong sub sup time tt u var wbr input".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -51,13 +52,20 @@ class Page:
 
 
 def parse(source: str) -> Page:
-    """The tree of block elements and the text blocks; inline elements belong to the block around them."""
+    """The tree of block elements and the text blocks; inline elements belong to the block around them.
+
+    Unseen elements leave nothing behind once their own end tag comes. If they end otherwise, with an element around them or with the page,
+    what follows their start tag was not theirs and stays. Formulas are text of their block.
+    """
     page = Page([-1], [["bias", "t:page"]], [-1])
     stack: list[tuple[str, int]] = [("", 0)]
     pieces: list[str] = []
     links = [0, 0]  # characters of the open block, of which in links
     stats: dict[int, list[int]] = {}
     inside_link = 0
+    in_formula = False
+    hidden: list[tuple] = []  # open unseen elements: name, open blocks, and all that is to be as it was
+    endless: set[str] = set()  # raw elements that no end tag follows any more
 
     def flush() -> None:
         text = " ".join("".join(pieces).split())
@@ -92,11 +100,39 @@ def parse(source: str) -> Page:
         if not name:
             continue
         closing, attributes = m[1] or m[4], m[3] if m[2] else m[6]
-        if name in UNSEEN:
-            if not closing:
+        if name in RAW:
+            if not closing and name not in endless:
                 end = re.compile(rf"</{name}(?![a-zA-Z0-9])[^>]*>?", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                if end:
+                    at = end.end()
+                elif name in ("script", "style"):
+                    at = len(source)
+                else:
+                    endless.add(name)
+            continue
+        own_end = (attributes or "").rstrip().endswith("/")
+        if name == "math":
+            in_formula = not closing and not own_end
             continue
+        if name in UNSEEN:
+            if not closing and not (own_end and name == "svg"):
+                node = stack[-1][1]
+                hidden.append((name, len(stack), list(pieces), list(links), len(page.parent), len(page.blocks), node, list(stats.get(node, ())), inside_link))
+            elif closing and any(h[0] == name for h in hidden):
+                while hidden[-1][0] != name:
+                    hidden.pop()
+                _, depth, pieces[:], links[:], nodes, blocks, node, before, inside_link = hidden.pop()
+                del stack[depth:], page.parent[nodes:], page.evidence[nodes:], page.label[nodes:], page.blocks[blocks:]
+                for k in [k for k in stats if k >= nodes]:
+                    del stats[k]
+                stats.pop(node, None)
+                if before:
+                    stats[node] = before
+            continue
+        if in_formula:
+            if name not in CLOSES_P:
+                continue
+            in_formula = False
         if name in INLINE:
             if name == "br":
                 pieces.append(" ")
@@ -110,9 +146,12 @@ def parse(source: str) -> Page:
                     del stack[k:]
                     inside_link = 0
                     break
+            while hidden and hidden[-1][1] > len(stack):
+                hidden.pop()
             continue
+        floor = hidden[-1][1] - 1 if hidden else 0
         if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, floor, -1):
                 if stack[k][0] == "p":
                     del stack[k:]
                     break
@@ -120,7 +159,7 @@ def parse(source: str) -> Page:
                     break
         elif name in ENDS:
             ends, limit = ENDS[name]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, floor, -1):
                 if stack[k][0] in limit:
                     break
                 if stack[k][0] in ends:
