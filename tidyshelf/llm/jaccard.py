@@ -40,7 +40,7 @@ _WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
 def _powers(base: int) -> np.ndarray:
-    steps = np.full(2 * CHUNK + 1, base, np.uint64)
+    steps = np.full(CHUNK + 1, base, np.uint64)
     steps[0] = 1
     return np.cumprod(steps, dtype=np.uint64)
 
@@ -58,20 +58,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word in order. A word is a run of lower-case ASCII letters, digits and bytes beyond ASCII."""
     raw = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
-    out, at = [], 0
-    while at < len(raw):
-        end = min(at + CHUNK, len(raw))
-        if end < len(raw):  # only a word of over 64 KB may be cut
-            while end < len(raw) and _WORD[raw[end]] and end - at < 2 * CHUNK:
-                end += 1
-        part = raw[at:end]
+    out, head, length = [], np.zeros(1, np.uint64), 0  # hash and bytes so far of a word that goes on beyond a chunk
+    for at in range(0, len(raw), CHUNK):
+        part = raw[at:at + CHUNK]
         flag = np.concatenate([[False], _WORD[part], [False]])
         edge = np.flatnonzero(flag[1:] != flag[:-1])
         starts, ends = edge[::2], edge[1::2]
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_BYTE[part] * _POWER[:len(part)], dtype=np.uint64, out=total[1:])
-        out.append((total[ends] - total[starts]) * _INVERSE[starts])
-        at = end
+        found = (total[ends] - total[starts]) * _INVERSE[starts]
+        if length:
+            if flag[1]:
+                found[:1] = head + found[:1] * np.array([pow(_BASE, length, 2**64)], np.uint64)
+            else:
+                out.append(head.copy())
+                length = 0
+        if flag[-2] and at + CHUNK < len(raw):
+            head, found = found[-1:].copy(), found[:-1]
+            length = int(ends[-1] - starts[-1]) + (length if starts[-1] == 0 else 0)
+        else:
+            length = 0
+        out.append(found)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
