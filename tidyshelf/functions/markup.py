@@ -7,6 +7,7 @@ closed ends with its parent, and a closing tag without an open element is ignore
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -52,6 +53,11 @@ class Text(NamedTuple):
 Pick = Markup | Attribute | Text
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def tokens(html: Column) -> Column:
     """The page as an array of texts that are the page again when joined."""
     return F.regexp_extract_all(html, F.lit(_TOKEN), 0)
@@ -59,11 +65,13 @@ def tokens(html: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """The value of an opening tag's first attribute of that name, quoted or not; empty without a value, null without the attribute."""
-    inside = F.regexp_replace(tag, r"^<[^\s/>]+", "")
-    names = F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), 1)
-    at = F.array_position(F.transform(names, F.lower), name.lower())
-    value = F.get(F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), 2), (at - 1).cast("int"))
-    return F.when(at > 0, F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2"))
+    pairs = lambda inside, group: F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), group)
+
+    def value(inside: Column) -> Column:
+        at = F.array_position(F.transform(pairs(inside, 1), F.lower), name.lower())
+        return once(at, lambda at: F.when(at > 0, F.regexp_replace(F.get(pairs(inside, 2), (at - 1).cast("int")), r"""(?s)^(["'])(.*)\1$""", "$2")))
+
+    return F.when(F.contains(F.lower(tag), F.lit(name.lower())), once(F.regexp_replace(tag, r"^<[^\s/>]+", ""), value))
 
 
 def _is(token: Column, name: Column, element: Element) -> Column:
@@ -78,6 +86,11 @@ def _is(token: Column, name: Column, element: Element) -> Column:
     return holds
 
 
+def _name(token: Column) -> Column:
+    """The name of a tag; empty for a text or comment."""
+    return F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][^\s/>]*)", 1))
+
+
 def _whole(token: Column, name: Column) -> Column:
     """A token that is an element by itself; a slash before the bracket closes nothing, as in browsers."""
     return name.isin(*VOID) | F.rlike(token, F.lit("(?s)^<[^/].*</[^<]*>$"))
@@ -86,30 +99,33 @@ def _whole(token: Column, name: Column) -> Column:
 def spans(parts: Column, path: tuple[Element, ...]) -> Column:
     """``(start, end)`` of the elements at the end of the path, in page order, as places in the array of tokens."""
     last = len(path) - 1
-    name = lambda x: F.lower(F.regexp_extract(x, r"^</?([a-zA-Z][^\s/>]*)", 1))
-    fits = lambda x: F.array(*[_is(x, name(x), step) for step in path])
-    tags = F.filter(F.transform(parts, lambda x, i: F.struct(
-        i.alias("at"), name(x).alias("name"), F.startswith(x, F.lit("</")).alias("closes"),
-        _whole(x, name(x)).alias("whole"),
-        F.when(F.rlike(x, F.lit("^<[a-zA-Z]")), fits(x)).alias("fits"))), lambda t: t["name"] != "")
+    tags = F.filter(F.transform(parts, lambda x, i: once(_name(x), lambda name: F.struct(
+        i.alias("at"), name.alias("name"), F.startswith(x, F.lit("</")).alias("closes"), _whole(x, name).alias("whole"),
+        F.when(F.rlike(x, F.lit("^<[a-zA-Z]")), F.array(*[_is(x, name, step) for step in path])).alias("fits")))), lambda t: t["name"] != "")
     empty = F.array().cast("array<struct<start:int,end:int>>")
     start = F.struct(F.array().cast("array<struct<name:string,at:int,hit:boolean,met:int>>").alias("open"), empty.alias("found"))
 
     def step(state: Column, tag: Column) -> Column:
         held = state["open"]
         above = F.coalesce(F.try_element_at(held, F.lit(-1))["met"], F.lit(0))
-        fit = F.coalesce(F.get(tag["fits"], F.least(above, F.lit(last))), F.lit(False))
-        hit = fit & (above >= last)
-        entry = F.struct(tag["name"].alias("name"), tag["at"].alias("at"), hit.alias("hit"), F.when(fit, F.least(above + 1, F.lit(last))).otherwise(above).alias("met"))
-        opened = F.struct(F.concat(held, F.array(entry)).alias("open"), state["found"].alias("found"))
-        alone = F.struct(held.alias("open"), F.when(hit, F.concat(state["found"], F.array(F.struct(tag["at"].alias("start"), tag["at"].alias("end")))))
-                         .otherwise(state["found"]).alias("found"))
+
+        def begun(x: Column) -> Column:
+            hit = x["fit"] & (x["above"] >= last)
+            met = F.when(x["fit"], F.least(x["above"] + 1, F.lit(last))).otherwise(x["above"])
+            entry = F.struct(tag["name"].alias("name"), tag["at"].alias("at"), hit.alias("hit"), met.alias("met"))
+            opened = F.struct(F.concat(held, F.array(entry)).alias("open"), state["found"].alias("found"))
+            alone = F.when(hit, F.struct(held.alias("open"), F.concat(state["found"], F.array(F.struct(tag["at"].alias("start"), tag["at"].alias("end")))).alias("found"))) \
+                .otherwise(state)
+            return F.when(tag["whole"], alone).otherwise(opened)
+
+        def ended(back: Column) -> Column:
+            keep = F.size(held) - back
+            hits = F.transform(F.filter(F.slice(held, keep + 1, back), lambda e: e["hit"]), lambda e: F.struct(e["at"].alias("start"), tag["at"].alias("end")))
+            return F.when(back > 0, F.struct(F.slice(held, F.lit(1), keep).alias("open"), F.concat(state["found"], hits).alias("found"))).otherwise(state)
+
+        fit = once(above, lambda above: F.struct(above.alias("above"), F.coalesce(F.get(tag["fits"], F.least(above, F.lit(last))), F.lit(False)).alias("fit")))
         back = F.array_position(F.transform(F.reverse(held), lambda e: e["name"]), tag["name"]).cast("int")
-        keep = F.size(held) - back
-        ended = F.transform(F.filter(F.slice(held, keep + 1, F.greatest(back, F.lit(0))), lambda e: e["hit"]),
-                            lambda e: F.struct(e["at"].alias("start"), tag["at"].alias("end")))
-        closed = F.when(back > 0, F.struct(F.slice(held, F.lit(1), keep).alias("open"), F.concat(state["found"], ended).alias("found"))).otherwise(state)
-        return F.when(tag["closes"], closed).when(tag["whole"], alone).otherwise(opened)
+        return F.when(tag["closes"], once(back, ended)).otherwise(once(fit, begun))
 
     done = F.aggregate(tags, start, step, lambda state: F.concat(state["found"], F.transform(
         F.filter(state["open"], lambda e: e["hit"]), lambda e: F.struct(e["at"].alias("start"), (F.size(parts) - 1).alias("end")))))
@@ -118,9 +134,7 @@ def spans(parts: Column, path: tuple[Element, ...]) -> Column:
 
 def picked(html: Column, what: Pick) -> Column:
     """The markup, attribute or text of every element that is meant, in page order; elements without the attribute are left out."""
-    parts = tokens(html)
-
-    def each(span: Column) -> Column:
+    def each(parts: Column, span: Column) -> Column:
         inside = F.slice(parts, span["start"] + 1, span["end"] - span["start"] + 1)
         if isinstance(what, Attribute):
             return attribute(F.get(parts, span["start"]), what.name)
@@ -128,18 +142,15 @@ def picked(html: Column, what: Pick) -> Column:
             return own_text(inside) if what.own else F.array_join(F.filter(inside, lambda x: ~F.startswith(x, F.lit("<"))), "")
         return F.array_join(inside, "")
 
-    found = F.transform(spans(parts, what.path), each)
+    found = once(tokens(html), lambda parts: F.transform(spans(parts, what.path), lambda span: each(parts, span)))
     return F.filter(found, lambda x: x.isNotNull()) if isinstance(what, Attribute) else found
 
 
 def own_text(inside: Column) -> Column:
     """An element's text without that of elements in it, from its tokens."""
-    name = lambda x: F.lower(F.regexp_extract(x, r"^</?([a-zA-Z][^\s/>]*)", 1))
-
     def step(state: Column, x: Column) -> Column:
-        tag = F.rlike(x, F.lit("^</?[a-zA-Z]"))
-        change = F.when(_whole(x, name(x)), 0).when(F.startswith(x, F.lit("</")), -1).otherwise(1)
+        change = once(_name(x), lambda name: F.when((name == "") | _whole(x, name), 0).when(F.startswith(x, F.lit("</")), -1).otherwise(1))
         text = F.when((state["depth"] == 1) & ~F.startswith(x, F.lit("<")), F.concat(state["text"], x)).otherwise(state["text"])
-        return F.struct(F.when(tag, state["depth"] + change).otherwise(state["depth"]).alias("depth"), text.alias("text"))
+        return F.struct((state["depth"] + change).alias("depth"), text.alias("text"))
 
     return F.aggregate(inside, F.struct(F.lit(0).alias("depth"), F.lit("").alias("text")), step, lambda s: s["text"])

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyshelf.functions.markup import Attribute, Element, Markup, Pick, Text, picked
+from tidyshelf.functions.markup import Attribute, Element, Markup, Pick, Text, once, picked
 from tidyshelf.functions.text import literal_map, strip, strip_to_int, trailing_int, unescape_html
 from tidyshelf.operators.graph import reachable
 
@@ -56,13 +56,14 @@ def first_match(text: Column, pattern: str | Pick) -> Column:
     found = all_matches(text, pattern)
     if isinstance(pattern, Text):
         found = F.filter(found, lambda x: strip(x) != "")
-    return strip(unescape_html(F.try_element_at(found, F.lit(1))))
+    first = F.try_element_at(found, F.lit(1))
+    return strip(unescape_html(first)) if isinstance(pattern, str) else once(first, lambda x: strip(unescape_html(x)))
 
 
 def page_section(html: Column, t: Template = GALLERY) -> Column:
     """The heading's own text, without the text of elements inside it; empty without a heading."""
     if not isinstance(t.heading, str):
-        return strip(unescape_html(F.array_join(picked(html, t.heading), "")))
+        return once(F.array_join(picked(html, t.heading), ""), lambda x: strip(unescape_html(x)))
     return strip(unescape_html(F.regexp_replace(F.regexp_extract(html, t.heading, 1), t.inner, "")))
 
 

@@ -118,9 +118,9 @@ def look_alikes(df: DataFrame, col: str, order: str, max_distance: int, bits: in
     Hashes are alike if at most ``max_distance`` bits differ, or if a chain of such hashes leads from one to the other. Copies are
     folded first. A null hash has a null group. Ties of ``order`` go to the lesser hash.
     """
-    copies = pin(df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("hash")).agg(F.min(order).alias("first")), "copies")
-    groups = linked_groups(close_pairs(copies, "hash", max_distance, bits), "hash_a", "hash_b")
-    placed = copies.join(groups, F.col("hash") == F.col("member"))
-    stands = placed.groupBy("group").agg(F.min(F.struct("first", "hash"))["hash"].alias("_stands"))
-    named = placed.join(stands, "group").where("hash <> _stands").select("hash", "_stands")
-    return df.join(named, F.col(col) == F.col("hash"), "left").withColumn(out, F.coalesce("_stands", col)).drop("hash", "_stands")
+    copies = pin(df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_hash")).agg(F.min(order).alias("_first")), "copies")
+    groups = linked_groups(close_pairs(copies, "_hash", max_distance, bits), "hash_a", "hash_b")
+    placed = copies.join(groups, F.col("_hash") == F.col("member"))
+    stands = placed.groupBy("group").agg(F.min(F.struct("_first", "_hash"))["_hash"].alias("_stands"))
+    named = placed.join(stands, "group").where("_hash <> _stands").select("_hash", "_stands")
+    return df.join(named, F.col(col) == F.col("_hash"), "left").withColumn(out, F.coalesce("_stands", col)).drop("_hash", "_stands")

@@ -135,7 +135,7 @@ def a5(spark, sf):
 
 
 @query("a5_round_trip", """
-    SELECT n_name, r_name, count(*) AS customers, CAST(sum(CAST(c_acctbal * 100 AS BIGINT)) AS BIGINT) AS cents
+    SELECT n_name, r_name, count(*) AS customers, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS cents
     FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_acctbal > 0 GROUP BY ALL
     UNION ALL SELECT 'version 1', NULL, count(*), NULL FROM customer""")
 def a5_round_trip(spark, sf):
@@ -148,7 +148,7 @@ def a5_round_trip(spark, sf):
     now, before = Catalog.open(spark, home), Catalog.open(spark, home, 1)
     nations = now["nation"].join(now["region"], F.col("n_regionkey") == F.col("r_regionkey"))
     out = now["customer"].join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", "r_name").agg(
-        F.count("*").alias("customers"), F.sum((F.col("c_acctbal") * 100).cast("bigint")).alias("cents"))
+        F.count("*").alias("customers"), F.sum(F.round(F.col("c_acctbal") * 100).cast("bigint")).alias("cents"))
     old = before["customer"].agg(F.count("*").alias("customers")).select(
         F.lit("version 1").alias("n_name"), F.lit(None).cast("string").alias("r_name"), "customers", F.lit(None).cast("bigint").alias("cents"))
     return out.unionByName(old)
