@@ -141,10 +141,19 @@ def _ratio_pairs(missing: DataFrame, have: DataFrame, ratio: float) -> DataFrame
 
     The lengths of two names fix how many characters must match, hence how far a common run can be
     shifted and how many bigrams they share at least. So one of a few rarest bigrams of each must be
-    common to both, at nearly the same place. Known names are listed under these bigrams with a band of
-    lengths and a cell of places; a missing name looks under every band and cell that could do, some
+    common to both, at nearly the same place. The names of the longer list are listed under these bigrams with a band of
+    lengths and a cell of places; a name of the shorter list looks under every band and cell that could do, some
     ten of each whatever its length. Exact lengths, places and the edit distance then decide.
     """
+    if missing.count() > have.count():
+        pairs = _close_names(have, missing, ratio).select(F.col("name_a").alias("name_b"), F.col("name_b").alias("name_a"))
+    else:
+        pairs = _close_names(missing, have, ratio)
+    return pairs.withColumn("ratio", matching_ratio("name_a", "name_b")).where(F.col("ratio") > ratio)
+
+
+def _close_names(missing: DataFrame, have: DataFrame, ratio: float) -> DataFrame:
+    """Distinct pairs ``(name_a, name_b)`` that may be above the ratio, whose order makes no difference here."""
     every = missing.select("name").unionByName(have.select("name"))
     often = every.select(F.explode(_grams(F.col("name"), 2)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
 
@@ -180,8 +189,7 @@ def _ratio_pairs(missing: DataFrame, have: DataFrame, ratio: float) -> DataFrame
     asking = asking.withColumn("cell", F.explode(F.sequence(_cell(F.greatest(earliest, F.lit(0)), F.col("band")), _cell(F.greatest(latest, F.lit(0)), F.col("band")))))
     shift = F.col("pos_b") - F.col("pos_a")
     feasible = (match <= F.least("len_a", "len_b")) & (shift >= -before) & (shift <= after)
-    pairs = asking.join(known, ["g", "band", "cell"]).where(feasible & within & enough).select("name_a", "name_b").distinct()
-    return pairs.withColumn("ratio", matching_ratio("name_a", "name_b")).where(F.col("ratio") > ratio)
+    return asking.join(known, ["g", "band", "cell"]).where(feasible & within & enough).select("name_a", "name_b").distinct()
 
 
 def _containing_pairs(missing: DataFrame, have: DataFrame) -> DataFrame:
