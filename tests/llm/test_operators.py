@@ -40,11 +40,12 @@ def test_variants_within_one_document_do_not_recur(spark):
 
 
 @pytest.mark.parametrize("n", [60, 1500])
-def test_fields_whose_values_recur_are_fields_at_any_size(spark, n):
+@pytest.mark.parametrize("drop", [lambda spark, docs: lines.line_stage(spark, docs, ""), lambda spark, docs: lines.drop_recurring_lines(docs)])
+def test_fields_whose_values_recur_are_fields_at_any_size(spark, n, drop):
     rng = random.Random(n)
     data = [(i, f"own words {i * 'x'}\nThis story was filed by Name{chr(65 + rng.randrange(50))} from the City{chr(65 + rng.randrange(52))} desk on monday") for i in range(n)]
     docs = spark.createDataFrame(data, "doc_id bigint, text string")
-    left = [t for t, in rows(lines.line_stage(spark, docs, ""), "text")]
+    left = [t for t, in rows(drop(spark, docs), "text")]
     assert len(left) == n and sum("This story" in t for t in left) <= max(2, n // 20)
 
 
@@ -56,6 +57,21 @@ def test_a_long_line_of_two_texts_stays_in_one(spark):
 
 # pages
 
+PAGE = "<article><h1>Head</h1><p>one one.</p>{}<p>two two.</p><p>three three.</p></article><footer>foot</footer>"
+
+
+@pytest.mark.parametrize("inside", ['<svg viewBox="0"/>', "<svg><path d='M'/><title>t</title></svg>", '<object data="x">', "<button>", "<button>Share</button>", "<math/>",
+                                    "<select><option>a<option>b</select>", "<iframe src=x>", "<object><p>fallback</p></object>", "<template><p>no</p></template>"])
+def test_unseen_elements_take_nothing_else_along(inside):
+    assert [text for _, text in html.parse(PAGE.format(inside)).blocks] == ["Head", "one one.", "two two.", "three three.", "foot"]
+
+
+def test_formulas_and_unseen_elements_in_a_sentence():
+    source = "<p>The sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is odd, <svg><text>t</text></svg>so <button>Go</button>there.</p><p>next"
+    assert [text for _, text in html.parse(source).blocks] == ["The sum x+1 is odd, so there.", "next"]
+    assert [text for _, text in html.parse("<p>a <button>b <svg>c</svg> d</button> e <canvas>f").blocks] == ["a e f"]
+
+
 def test_held_out_pages():
     model = html.train(html.labelled_pages(600))
     wrong = 0
@@ -283,3 +299,15 @@ def test_a_leaf_reads_a_prefix_of_its_order(spark):
     again = {r.doc_id: r.epochs for r in mixing.mix(df.repartition(9), {}, budget=total + 300).collect()}
     assert again == {d: r.epochs for d, r in out.items()}
     assert mixing.mix(df, {}, budget=0).count() == 0
+
+
+def test_words_of_any_length_are_one_word(spark, monkeypatch):
+    word = "x" * 200_000
+    texts = [a + "one two three " + word + b for a in ("", " ", " . ") for b in ("", "!")]
+    assert all(len(jaccard.word_hashes(t)) == 4 for t in texts)
+    out = jaccard.link_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert {(r.class_id, r.n_links) for r in out.collect()} == {(0, len(texts) - 1)}
+    whole = [jaccard.word_hashes(t).tolist() for t in ("ab cde é. f", "abcdefgh", "", " a", "a b c d e f g")]
+    for chunk in (1, 2, 3, 5):
+        monkeypatch.setattr(jaccard, "CHUNK", chunk)
+        assert [jaccard.word_hashes(t).tolist() for t in ("ab cde é. f", "abcdefgh", "", " a", "a b c d e f g")] == whole
