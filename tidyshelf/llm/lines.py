@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidyshelf.functions.markup import once
 from tidyshelf.llm.common import fresh, query, sift, table, whole
 from tidyshelf.session import pin
 
@@ -77,12 +78,12 @@ def recurring_templates(docs: DataFrame, lines: DataFrame, text: str, doc_id: st
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 3, depth: int = 3,
-                         min_fixed: float = 0.8, levels: int = 1, long_line: int | None = None, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+                         min_fixed: float = 0.8, levels: int = LEVELS, long_line: int | None = None, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """All columns of ``docs``, recurring lines taken out of the text, with the number of lines that are not blank and of those dropped.
 
     A template recurs if it is in at least ``min_docs`` different whole texts, so copies of a whole document
-    don't count against each other. One level is the rule of OP1_SQL; more find templates whose fields' values recur.
-    A line of ``long_line`` tokens or more recurs from two such texts on, if that is given. Of equal ids the rows count as one document; null ids as one that comes
+    don't count against each other. With one level a token that recurs is fixed; more levels find templates whose fields' values recur, at
+    any size of table. A line of ``long_line`` tokens or more recurs from two such texts on, if that is given. Of equal ids the rows count as one document; null ids as one that comes
     last. Blank lines always stay. A null text stays null, an empty one empty; repeated rows stay, each with its lines. Nothing is
     gathered but the line numbers to drop of one document.
     """
@@ -95,7 +96,8 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc
     gone = pin(gone, "gone")
     keyed = docs.withColumns({doc: F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), body: F.xxhash64(whole(text))})
     parts = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(F.col(dropped), i)), "\n")
+    stays = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(dropped))
+    kept = once(parts, lambda p: F.array_join(F.transform(stays(p), lambda i: F.get(p, i)), "\n"))
     some, none = sift(keyed, gone, doc, body)
     marked = some.join(gone, [doc, body], "left").unionByName(none.withColumn(dropped, F.lit(None).cast("array<int>")))
     return marked.select(
@@ -106,7 +108,7 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without their recurring lines; one whose every line stays elsewhere goes."""
-    done = drop_recurring_lines(docs, levels=LEVELS, long_line=LONG_LINE, n_lines="__lines", n_dropped="__gone")
+    done = drop_recurring_lines(docs, long_line=LONG_LINE, n_lines="__lines", n_dropped="__gone")
     left = done.where("__gone = 0 or __lines > __gone")
     return left.select(*[F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c)
                          for c in docs.columns])
@@ -128,17 +130,18 @@ WITH raw AS (
 ), tokens AS (
   SELECT shape, n, path, texts, unnest(range(n)) AS place, unnest(string_split(shape, ' ')) AS token FROM seen JOIN leaves USING (n, path)
 ), fixed AS (
-  SELECT n, path, place, token FROM tokens GROUP BY ALL HAVING sum(texts) >= 3
+  SELECT n, path, place, token, sum(texts) AS s FROM tokens GROUP BY ALL HAVING sum(texts) >= 3
 ), general AS (
-  SELECT t.shape, n, path, string_agg(CASE WHEN f.token IS NULL THEN chr(1) ELSE t.token END, ' ' ORDER BY place) AS template, count(f.token) AS fixed
-  FROM tokens t LEFT JOIN fixed f USING (n, path, place, token) GROUP BY ALL HAVING count(f.token) >= 0.8 * n AND count(f.token) > 0
+  SELECT t.shape, n, path, level, string_agg(CASE WHEN f.s >= 3 * 4 ** level THEN t.token ELSE chr(1) END, ' ' ORDER BY place) AS template
+  FROM tokens t LEFT JOIN fixed f USING (n, path, place, token), range(20) l(level)
+  GROUP BY ALL HAVING count(*) FILTER (WHERE f.s >= 3 * 4 ** level) >= greatest(0.8 * n, 1)
 ), wide AS (
-  SELECT g.n, g.path, template, min(doc_id) AS keep FROM general g JOIN lines l ON l.shape = g.shape
+  SELECT g.n, g.path, level, template, min(doc_id) AS keep FROM general g JOIN lines l ON l.shape = g.shape
   GROUP BY ALL HAVING count(DISTINCT body) >= 3 AND count(DISTINCT g.shape) > 1
 ), recurring AS (
   SELECT shape, min(keep) AS keep FROM (
     SELECT shape, first AS keep FROM seen WHERE texts >= 3
-    UNION ALL SELECT shape, keep FROM general JOIN wide USING (n, path, template)) GROUP BY ALL
+    UNION ALL SELECT shape, keep FROM general JOIN wide USING (n, path, level, template)) GROUP BY ALL
 ), marked AS (
   SELECT s.doc_id, s.body, s.pos, s.line, r.shape IS NOT NULL AND s.doc_id <> r.keep AS gone, s.shape <> '' AS filled
   FROM (SELECT l.*, trim(regexp_replace(regexp_replace(line, '[0-9]+', '<*>', 'g'), '[ \t\r\f\x0B]+', ' ', 'g')) AS shape FROM line l) s
