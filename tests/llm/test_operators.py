@@ -55,6 +55,19 @@ def test_a_long_line_of_two_texts_stays_in_one(spark):
     assert rows(lines.line_stage(spark, docs, ""), "doc_id", "text") == [(1, f"one\n{passage}\n{short}"), (2, f"two\n{short}"), (3, f"two\n{short}")]
 
 
+def test_a_near_copy_is_left_whole_for_the_stage_that_follows(spark):
+    rng = random.Random(1)
+    made = ["".join(rng.choices("abcdefghij", k=200)) for _ in range(110)]
+    line = lambda i: " ".join(made[i][5 * k:5 * k + 5] for k in range(12))
+    first = [line(i) for i in range(20)]
+    other = [*first[:19], "one line that is of the second document only and quite unlike it"]
+    part = [*first[:3], *(line(i) for i in range(100, 104))]
+    docs = spark.createDataFrame([(1, "\n".join(first)), (2, "\n".join(other)), (3, "\n".join(part)), (4, "\n".join(first[5:9]))], "doc_id bigint, text string")
+    left = lines.line_stage(spark, docs, "")
+    assert dict(rows(left, "doc_id", "text")) == {1: "\n".join(first), 2: "\n".join(other), 3: "\n".join(part[3:])}
+    assert sorted(r.doc_id for r in jaccard.near_stage(spark, left, "").collect()) == [1, 3]
+
+
 # pages
 
 PAGE = "<article><h1>Head</h1><p>one one.</p>{}<p>two two.</p><p>three three.</p></article><footer>foot</footer>"

@@ -20,6 +20,8 @@ LAST = 2**63 - 1
 STEP, LEVELS = 4, 20
 #: Tokens of a line that the pipeline takes for a passage; clean documents share shorter ones by chance.
 LONG_LINE = 8
+#: Share of the lines that two texts have in common from which the pipeline takes one for a near copy of the other.
+NEAR_COPY = 0.8
 
 
 def masked(line: Column) -> Column:
@@ -78,12 +80,14 @@ def recurring_templates(docs: DataFrame, lines: DataFrame, text: str, doc_id: st
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 3, depth: int = 3,
-                         min_fixed: float = 0.8, levels: int = LEVELS, long_line: int | None = None, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+                         min_fixed: float = 0.8, levels: int = LEVELS, long_line: int | None = None, near_copy: float | None = None, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """All columns of ``docs``, recurring lines taken out of the text, with the number of lines that are not blank and of those dropped.
 
     A template recurs if it is in at least ``min_docs`` different whole texts, so copies of a whole document
     don't count against each other. With one level a token that recurs is fixed; more levels find templates whose fields' values recur, at
-    any size of table. A line of ``long_line`` tokens or more recurs from two such texts on, if that is given. Of equal ids the rows count as one document; null ids as one that comes
+    any size of table. A line of ``long_line`` tokens or more recurs from two such texts on, if that is given. With
+    ``near_copy``, a text that would lose this share of its lines, but not all, to one document of which they are the same share, is a near
+    copy and stays whole: what is left of it would be no copy any more. Of equal ids the rows count as one document; null ids as one that comes
     last. Blank lines always stay. A null text stays null, an empty one empty; repeated rows stay, each with its lines. Nothing is
     gathered but the line numbers to drop of one document.
     """
@@ -91,8 +95,15 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc
     lines = template_lines(docs, text, doc_id, depth).drop("shape")
     lines = pin((lines.withColumn("long", F.col("n") >= long_line) if long_line else lines).drop("n"), "lines")
     recurring = recurring_templates(docs, lines, text, doc_id, min_docs, depth, min_fixed, levels, long_line)
-    gone = lines.join(recurring, ["leaf", "key"]).where("doc <> keep") \
-        .groupBy(F.col("doc").alias(doc), F.col("body").alias(body)).agg(F.collect_set("pos").alias(dropped))
+    hits = lines.join(recurring, ["leaf", "key"]).where("doc <> keep").select("doc", "body", "pos", "keep")
+    if near_copy:
+        hits = pin(hits, "hits")
+        sizes = pin(lines.groupBy("doc", "body").agg(F.count("*").alias("own")), "sizes")
+        theirs = sizes.groupBy(F.col("doc").alias("keep")).agg(F.sum("own").alias("theirs"))
+        near = hits.groupBy("doc", "body", "keep").agg(F.count("*").alias("n")).join(sizes, ["doc", "body"]) \
+            .where((F.col("n") >= near_copy * F.col("own")) & (F.col("n") < F.col("own"))).join(theirs, "keep").where(F.col("n") >= near_copy * F.col("theirs"))
+        hits = hits.join(near.select("doc", "body"), ["doc", "body"], "left_anti")
+    gone = hits.groupBy(F.col("doc").alias(doc), F.col("body").alias(body)).agg(F.collect_set("pos").alias(dropped))
     gone = pin(gone, "gone")
     keyed = docs.withColumns({doc: F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), body: F.xxhash64(whole(text))})
     parts = F.split(F.col(text), "\n")
@@ -107,8 +118,12 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without their recurring lines; one whose every line stays elsewhere goes."""
-    done = drop_recurring_lines(docs, long_line=LONG_LINE, n_lines="__lines", n_dropped="__gone")
+    """Pipeline stage: documents without their recurring lines; one whose every line stays elsewhere goes.
+
+    Near copies stay whole, for the stage after this to choose one. Rows without a text, repeated rows and other columns are kept, and an
+    empty table stays empty.
+    """
+    done = drop_recurring_lines(docs, long_line=LONG_LINE, near_copy=NEAR_COPY, n_lines="__lines", n_dropped="__gone")
     left = done.where("__gone = 0 or __lines > __gone")
     return left.select(*[F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c)
                          for c in docs.columns])
