@@ -7,6 +7,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidyshelf.llm import bpe, jaccard, language, licenses, lines, matroska, mixing, shards
 
 LONG = " ".join(f"word{i % 977} and {i}" for i in range(20_000)) + "x" * 5000
@@ -132,3 +133,19 @@ def test_clashing_column_takes_the_operators_place(docs):
     """A column of an output's own name is replaced by it, and only that one."""
     out = language.identify(docs.withColumn("lang_pred", F.lit("old")), sample_docs=20)
     assert out.columns.count("lang_pred") == 1 and out.where("lang_pred = 'old'").count() == 0
+
+
+def test_every_stage_of_the_pipeline(spark, tmp_path):
+    """``run`` on nulls, empty and long texts, repeated rows and clashing columns, on an empty table, and each stage's columns."""
+    table(spark).write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    out = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    given = {(r.doc_id, r.text) for r in table(spark).collect()}
+    kept = {(r.doc_id, r.text) for r in out}
+    assert kept and kept <= given and all(r.n_tokens > 0 for r in out)
+    # those without a letter go, and the copies of others; mixing chooses from the rest, and may take one twice
+    assert not {0, 1, 2, 3, 7, 9, 11} & {d for d, _ in kept}
+    docs = table(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "").columns == docs.columns, name

@@ -55,7 +55,7 @@ def component(near, start):
     return min(seen)
 
 
-@pytest.mark.parametrize("threshold, settings", [(0.98, {}), (0.98, {"block": 8}), (0.9, {"block": 5, "groups": 3}), (0.98, {"block": 20, "groups": 1}), (0.999, {})])
+@pytest.mark.parametrize("threshold, settings", [(0.98, {}), (0.98, {"block": 8, "uncut": 4}), (0.9, {"block": 5, "groups": 3, "uncut": 2}), (0.98, {"block": 20, "groups": 1, "uncut": 1}), (0.98, {"block": 30}), (0.999, {})])
 def test_links_are_those_of_all_pairs(spark, threshold, settings):
     rows = clustered(1, 300) + ODD + [(2000, 1, [1.0] * 7), (2001, 1, [1.0] * 7)]
     near = links(rows, threshold)

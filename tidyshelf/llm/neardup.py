@@ -28,7 +28,9 @@ from tidyshelf.llm.neighbours import usable
 from tidyshelf.session import pin
 
 #: Groups of projections, vectors of a cell that lie in one block, and vectors that ask in one block.
-GROUPS, BLOCK, ASKING = 8, 4096, 16384
+GROUPS, BLOCK, ASKING = 8, 8192, 16384
+#: Blocks of a label whose space is not cut: below, the copies that cells take cost more than the comparisons they save.
+UNCUT = 32
 #: Vectors whose projections are sorted on the driver to place the cuts of the cells; the cuts only balance the cells.
 SAMPLE = 10_000
 #: Cuts of a projection; a cell uses some of them.
@@ -182,7 +184,7 @@ def hooked(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.98,
-                    groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
+                    groups: int = GROUPS, block: int = BLOCK, uncut: int = UNCUT) -> DataFrame:
     """``vectors`` with n_links, component_id and kept: links join rows of one label whose cosine is at least ``threshold``.
 
     No link is missed (see the module), so links are those of comparing all pairs. Of the links of a block only counts and a spanning
@@ -192,7 +194,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     are one place of the graph, whose links are those of all. Other columns are kept, but for those
     of the outputs' names, which are replaced; an empty table gives an empty one.
 
-    Spaces of labels with many vectors are cut so that a cell holds about ``block`` of them. Where a cell holds more, it is dealt over
+    Spaces of labels with more than ``uncut`` times ``block`` vectors are cut so that a cell holds about ``block`` of them. Where a cell holds more, it is dealt over
     blocks of that size, and those that ask in it over blocks of ASKING, so that a block's size is bounded.
     """
     kind = np.float32 if dict(vectors.dtypes)[embedding] == "array<float>" else np.float64
@@ -205,7 +207,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     alike = given.where(F.col(one).isNotNull()).groupBy(one, two).agg(
         F.min(node).alias("key"), F.count_distinct(node).alias("copies"), F.first(embedding).alias("vec"), F.first(F.xxhash64(F.col(label), F.size(embedding))).alias("kin"))
     alike = pin(alike, "alike")
-    crowds = alike.groupBy("kin").agg(F.count("*").alias("n")).where(F.col("n") > 4 * block) \
+    crowds = alike.groupBy("kin").agg(F.count("*").alias("n")).where(F.col("n") > uncut * block) \
         .select("kin", F.round(F.log2(F.col("n") / block)).cast("int").alias("bits"))
     alike = alike.join(crowds, "kin", "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
     cuts = {}
