@@ -324,3 +324,23 @@ def test_words_of_any_length_are_one_word(spark, monkeypatch):
     for chunk in (1, 2, 3, 5):
         monkeypatch.setattr(jaccard, "CHUNK", chunk)
         assert [jaccard.word_hashes(t).tolist() for t in ("ab cde é. f", "abcdefgh", "", " a", "a b c d e f g")] == whole
+
+
+def test_common_statements_are_found_and_told_apart(spark):
+    gpl = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    cases = {
+        gpl.format(":", "", ",", 3): {("GPL-3.0", "header")}, gpl.format(":", "Affero ", ",", 3): {("AGPL", "terms")},
+        gpl.format(":", "Lesser ", ",", "2.1"): {("LGPL", "terms")}, gpl.format(";", "", ";", 2): {("GPL-2.0", "version")},
+        "This is free and unencumbered software released into the public domain.\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either": {("Unlicense", "text")},
+        "a = 1  # SPDX-License-Identifier: MIT\n": {("MIT", "spdx")}, "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */": {
+            ("GPL-2.0-only", "spdx"), ("Linux-syscall-note", "spdx"), ("BSD-3-Clause", "spdx")}, "Give an SPDX-License-Identifier: 0BSD. Or none.": {("0BSD", "spdx")},
+        "An identifier line starts with SPDX-License-Identifier and a colon.": set(), None: set(),
+        'x THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. y': {("MIT", "disclaimer")}}
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")
+    got = {i: set() for i in range(len(cases))}
+    best = {}
+    for r in licenses.scan(docs).collect():
+        got[r.doc].add((r.license, r.kind))
+        best.setdefault(r.doc, {})[r.license, r.kind] = r.containment
+    for i, want in enumerate(cases.values()):
+        assert want <= got[i] and all(best[i][w] >= 0.9 for w in want) and all(best[i][x] < 0.9 for x in got[i] - want), (i, got[i], best.get(i))

@@ -2,7 +2,7 @@
 
 Windows are as long as the template they look for and start every quarter of that length, so one of them always lies
 within an eighth of the template's length of any copy. Windows without any shingle of a
-template are not built: they could agree with none of its MinHash values.
+template are not built: they could agree with none of its MinHash values. Identifier lines, which are shorter than a shingle, are read as they stand.
 """
 
 from __future__ import annotations
@@ -43,7 +43,22 @@ TEMPLATES = [
      "file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("BSD-3-Clause", "text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
      "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("GPL-2.0", "version", "either version 2 of the License, or (at your option) any later version"),
+    ("LGPL", "terms", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("AGPL", "terms", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("CC0-1.0", "notice", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the "
+     "public domain worldwide. This software is distributed without any warranty."),
+    ("Unlicense", "text", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+     "distribute this software"),
+    ("MIT", "disclaimer", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+     "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("BSD", "disclaimer", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+     "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
 ]
+# An identifier line, and the identifiers in it.
+SPDX = r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9.+-]+\)*(?: (?:AND|OR|WITH) \(*[A-Za-z0-9.+-]+\)*)*)"
+IDENTIFIER = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+JOINED = ("AND", "OR", "WITH")
 
 
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -79,6 +94,8 @@ def catalogue(spark: SparkSession, templates: list[tuple[str, str, str]]) -> Dat
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc, body, license, kind, containment): what part of a template's shingles the best place of a text holds, at least 0.8.
 
+    Identifiers of identifier lines are of kind ``spdx`` and containment 1.
+
     ``doc`` is the id, ``body`` a hash of the text. A place is a window and a quarter of its length on either side.
     Repeated rows give one answer; null, empty and wordless texts, and templates under five words, give none.
     """
@@ -117,7 +134,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, tex
     index = known.withColumn("band", F.explode(bands_of("known", "length"))).select("license", "kind", "known", "band")
     found = keyed.join(F.broadcast(index), "band")
     share = F.size(F.array_intersect("known", "place")) / F.size("known")
-    return found.withColumn("containment", share).where(F.col("containment") >= CONTAINED) \
+    listed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(SPDX), 1), lambda e: F.regexp_extract_all(e, F.lit(IDENTIFIER), 0)))
+    lines = docs.where(F.contains(F.col(text), F.lit("SPDX-License-Identifier:"))).select(
+        F.col(doc_id).alias("doc"), F.xxhash64(whole(text)).alias("body"), F.explode(listed).alias("license"), F.lit("spdx").alias("kind"), F.lit(1.0).alias("containment"))
+    found = found.withColumn("containment", share).where(F.col("containment") >= CONTAINED).select(lines.columns)
+    return found.unionByName(lines.where(~F.col("license").isin(*JOINED))) \
         .groupBy("doc", "body", "license", "kind").agg(F.max("containment").alias("containment"))
 
 
@@ -143,6 +164,9 @@ WITH template(license, kind, text) AS (VALUES {", ".join("('" + "', '".join(x.re
   WHERE start < total AND p >= start - step AND p <= start + length + step - 5 GROUP BY ALL
 )
 SELECT doc_id, license, kind, max(c / n) AS containment FROM counts JOIN counted USING (license, kind) WHERE c / n >= 0.8 GROUP BY ALL
+UNION ALL SELECT DISTINCT doc_id, license, 'spdx', 1::DOUBLE FROM (
+  SELECT doc_id, unnest(regexp_extract_all(line, '{IDENTIFIER}')) AS license FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{SPDX}', 1)) AS line FROM documents)
+) WHERE license NOT IN {JOINED}
 """
 
 
