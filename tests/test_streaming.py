@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from tidyshelf.functions import text as t
 from tidyshelf.operators import fields as f
+from tidyshelf.plans import streams
 from tidyshelf.streaming import stages as s
 
 SCHEMA = "id int, kind string, name string, at timestamp"
@@ -115,3 +116,16 @@ def test_first_records_have_bounded_state(spark, tmp_path):
     assert rows(spark.read.schema(schema).parquet(str(tmp_path / "out")), "id", "kind") == [(10, "z"), (2, "a"), (6, "b"), (7, "a"), (9, "c")]
     held = [p["stateOperators"][0]["numRowsTotal"] for p in map(lambda p: json.loads(p.json), query.recentProgress) if p["stateOperators"]]
     assert max(held) >= 2 and held[-1] == 1
+
+
+def test_tables_arrive_from_a_file_and_from_a_folder_of_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"Text {i}", "de" if i % 3 else "en", "src1", i) for i in range(20)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    for folder in ("one", "many"):
+        sf = str(tmp_path / folder)
+        assert rows(streams.k4(spark, sf)) == rows(docs, "lang", "source", "doc_id", "n_chars")
+        assert rows(streams.k1_stream(spark, sf)) == rows(streams.k1(spark, sf))

@@ -10,14 +10,15 @@ from tidyshelf.operators.keys import content_hash
 from tidyshelf.operators.model import extract_dimension
 from tidyshelf.plans.registry import query, table
 from tidyshelf.plans.tables import labelled
-from tidyshelf.session import shared_path
+from tidyshelf.session import is_folder, shared_path
 from tidyshelf.streaming import stages as s
 
 
 def arriving(spark, sf, name):
-    """One of the tables as a file stream."""
-    reader = spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(sf)
+    """One of the tables as a file stream, be it one file or a folder of files."""
+    reader = spark.readStream.schema(table(spark, sf, name).schema)
+    path = f"{sf.rstrip('/')}/{name}.parquet"
+    return reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def to_table(spark, stream):
