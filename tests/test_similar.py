@@ -55,3 +55,29 @@ def test_groups_of_nothing_and_of_loops(frame):
 def test_reachable(frame):
     links = frame([(1, 2), (2, 3), (3, 1), (3, 4), (1, 4), (8, 9), (4, None)], "a int, b int")
     assert rows(graph.reachable(frame([(1,), (None,)], "id int"), links, "a", "b")) == [(1, 0), (2, 1), (3, 2), (4, 1)]
+
+
+def test_hashes_under_no_key_are_compared_in_blocks(frame, monkeypatch):
+    rng = random.Random(3)
+    hashes = [rng.getrandbits(64) for _ in range(700)] + [0, (1 << 64) - 1, 1 << 63, (1 << 63) - 1]
+    hashes += [h ^ sum(1 << b for b in rng.sample(range(64), flips)) for h in hashes[:300] for flips in (3, 16, 17)]
+    hashes = [signed(h) for h in hashes]
+    df = frame([(i, h) for i, h in enumerate([*hashes, hashes[0], None])], "id bigint, h bigint")
+    sizes = []
+    compared = similar._compared
+    monkeypatch.setattr(similar, "_compared", lambda *args: sizes.append(compared(*args)) or sizes[-1])
+    got = sorted(tuple(r) for r in similar.close_pairs(df, "h", 16, block=100).collect())
+    assert got == brute(hashes, 16) and len(got) > 600
+    # no task holds more than a few pairs of blocks: 17 blocks, each with each and with itself
+    assert [d.rdd.getNumPartitions() for d in sizes] == [17 * 18 // 2]
+
+
+@pytest.mark.parametrize("full", [1, 50])
+def test_blocks_under_several_keys(frame, monkeypatch, full):
+    monkeypatch.setattr(similar, "FULL", full)
+    monkeypatch.setattr(similar, "CHUNK", 40)
+    rng = random.Random(5)
+    hashes = [signed((top << 60) | rng.getrandbits(20)) for top in (1, 9) for _ in range(80)]
+    df = frame([(i, h) for i, h in enumerate(hashes)], "id bigint, h bigint")
+    got = sorted(tuple(r) for r in similar.close_pairs(df, "h", 5, crowd=10, block=15).collect())
+    assert got == brute(hashes, 5) and len(got) > 100
