@@ -81,3 +81,26 @@ def test_blocks_under_several_keys(frame, monkeypatch, full):
     df = frame([(i, h) for i, h in enumerate(hashes)], "id bigint, h bigint")
     got = sorted(tuple(r) for r in similar.close_pairs(df, "h", 5, crowd=10, block=15).collect())
     assert got == brute(hashes, 5) and len(got) > 100
+
+
+def test_look_alikes_of_a_crowd_are_compared_in_blocks(frame, monkeypatch):
+    rng = random.Random(8)
+    hashes = [rng.getrandbits(64) for _ in range(500)]
+    hashes += [h ^ sum(1 << b for b in rng.sample(range(64), 9)) for h in hashes[:400]]
+    hashes = [signed(h) for h in hashes + [h ^ sum(1 << b for b in rng.sample(range(64), 10)) for h in hashes[500:700]]]
+    group = {h: h for h in hashes}
+
+    def root(h):
+        while group[h] != h:
+            h = group[h]
+        return h
+
+    place = {h: i for i, h in enumerate(hashes)}
+    for a, b, _ in brute(hashes, 16):
+        a, b = sorted((root(a), root(b)), key=place.get)
+        group[b] = a
+    compared, calls = similar._compared, []
+    monkeypatch.setattr(similar, "_compared", lambda *args: calls.append(args) or compared(*args))
+    got = {r.h: r.group for r in similar.look_alikes(frame(list(enumerate(hashes)), "id bigint, h bigint"), "h", "id", 16).collect()}
+    assert len(calls) == 1 and len(hashes) > similar.CROWD
+    assert got == {h: root(h) for h in hashes}
