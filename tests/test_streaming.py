@@ -129,3 +129,37 @@ def test_tables_arrive_from_a_file_and_from_a_folder_of_files(spark, tmp_path):
         sf = str(tmp_path / folder)
         assert rows(streams.k4(spark, sf)) == rows(docs, "lang", "source", "doc_id", "n_chars")
         assert rows(streams.k1_stream(spark, sf)) == rows(streams.k1(spark, sf))
+
+
+def test_first_arrivals_of_many_kinds_of_columns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(s, "COMBINED", 4)
+    schema = "id string, kind string, tag struct<a:int,b:string>, big bigint"
+    batches = [[(f"i{9 - i % 9}", "a" if i % 2 else None, (i % 3, None), 2**60 + i if i % 4 else None) for i in range(90)],
+               [("i0", "a", (1, None), 1), ("z", "a", (1, "new"), 2), (None, "n", (0, ""), 3)]]
+    stream = feed_in_order(spark, tmp_path, "in", schema, batches)
+    firsts = s.first_arrivals(stream, ["kind", "tag"], "id", buckets=3)
+    got = s.run_to_table(firsts, str(tmp_path / "out"), str(tmp_path / "progress")).collect()
+    best = {}
+    for batch in batches:
+        least = {}
+        for r in batch:
+            if r[1:3] not in least or r[0] < least[r[1:3]]:
+                least[r[1:3]] = r[0]
+        best = {**least, **best}
+    assert {(r.kind, tuple(r.tag)): r.id for r in got} == best and len(got) == len(best) == 8
+    given = {(r[0], r[1], r[2], r[3]) for batch in batches for r in batch}
+    assert all((r.id, r.kind, tuple(r.tag), r.big) in given for r in got)
+
+
+def test_first_arrivals_are_combined_before_they_are_shuffled(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.range(300000).selectExpr("300000 - id AS id", "if(id % 1000 = 0, cast(id as string), 'hot') AS kind").coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema("id bigint, kind string").parquet(folder)
+    query = s.first_arrivals(stream, ["kind"], "id").writeStream.format("parquet").option("path", str(tmp_path / "out")) \
+        .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.schema("id bigint, kind string").parquet(str(tmp_path / "out"))
+    assert out.count() == 301 and out.where("kind = 'hot'").first().id == 1
+    # a key costs one row of state, and one row of a batch gets there
+    state = [json.loads(p.json)["stateOperators"][0] for p in query.recentProgress if p["numInputRows"]]
+    assert [x["numRowsTotal"] for x in state] == [301] and state[0]["customMetrics"]["numDroppedDuplicateRows"] == 0

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -12,6 +15,8 @@ from tidyshelf.operators.keys import drop_known_content
 from tidyshelf.sources.sinks import write_by_type
 
 Stage = Callable[[DataFrame], DataFrame]
+#: Records that are gathered before a task combines them, besides those it holds; bytes that it holds at most.
+COMBINED, HELD_BYTES = 1 << 16, 1 << 25
 
 
 def apply_stages(df: DataFrame, stages: Sequence[tuple[int, Stage]]) -> DataFrame:
@@ -34,24 +39,43 @@ def dedup_arrivals(stream: DataFrame, keys: Sequence[str], event_time: str | Non
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def first_arrivals(stream: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+def _firsts(rows: pa.Table, keys: Sequence[str], order: str) -> pa.Table:
+    """The row of least order per key, nulls last, ties to the row that comes first."""
+    ranked = pc.sort_indices(rows.select([order]), sort_keys=[(order, "ascending")])
+    held = pa.Table.from_arrays([*rows.select(keys).take(ranked).columns, pa.array(np.arange(len(rows)))], [*map(str, range(len(keys))), "at"])
+    best = held.group_by([str(i) for i in range(len(keys))], use_threads=False).aggregate([("at", "min")])["at_min"]
+    return rows.take(ranked.take(best.combine_chunks()))
+
+
+def first_arrivals(stream: DataFrame, keys: Sequence[str], order: str, buckets: int = 4096) -> DataFrame:
     """The whole first record per key: of the batch in which the key is first seen, the one of least ``order``.
 
-    State is one flag per key, kept for the whole run. A batch's records of one key pass through one task, chunk
-    by chunk, and only the least is held; a batch of null orders alone keeps the first of them. ``first_records`` bounds the state.
+    State is the key alone, kept for the whole run. A batch's records are combined before they are shuffled, so a hot key is no hot task, and
+    once more bucket by bucket, many keys at a time; ``buckets`` bounds what is held at once. A batch of null orders alone keeps one of
+    them. ``first_records`` bounds the state.
     """
-    names = stream.columns
-
-    def least(key, chunks, state):
-        best = None
-        for chunk in chunks:
-            first = chunk.nsmallest(1, order)
-            best = first if best is None or (len(first) and first[order].iloc[0] < best[order].iloc[0]) else best
-        if not state.exists:
-            state.update((True,))
-            yield best[names]
-
-    return stream.groupBy(*keys).applyInPandasWithState(least, stream.schema, "seen boolean", "append", "NoTimeout")
+    names, keys, types = stream.columns, list(keys), dict(stream.dtypes)
+    # Arrow groups by plain values only
+    plain = {c: f"_plain{i}" for i, c in enumerate(keys) if types[c].startswith(("struct", "array"))}
+    held = stream.withColumns({p: F.to_json(F.struct(c), {"ignoreNullFields": "false"}) for c, p in plain.items()}) \
+        .withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    by = [plain.get(c, c) for c in keys]
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, kept = None, 0
+        for batch in batches:
+            rows = pa.Table.from_batches([*(rows.to_batches() if rows else []), batch])
+            if len(rows) > 2 * kept + COMBINED:
+                rows = _firsts(rows, by, order)
+                kept = len(rows)
+                if rows.nbytes > HELD_BYTES:
+                    yield from rows.to_batches()
+                    rows, kept = None, 0
+        if rows:
+            yield from _firsts(rows, by, order).to_batches()
+
+    least = held.mapInArrow(combine, held.schema).groupBy("_bucket").applyInArrow(lambda rows: _firsts(rows, by, order).select(names), stream.schema)
+    return least.dropDuplicates(keys)
 
 
 def first_records(stream: DataFrame, keys: Sequence[str], order: str, event_time: str, gap: str, delay: str = "0 seconds") -> DataFrame:
