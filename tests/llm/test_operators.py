@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tidyshelf.llm import bpe, html, jaccard, language, licenses, lines, matroska, mixing, neighbours, shards
+from tidyshelf.llm import bpe, common, html, jaccard, language, licenses, lines, matroska, mixing, neighbours, shards
 from tidyshelf.llm.components import components
 
 
@@ -39,6 +39,29 @@ def test_variants_within_one_document_do_not_recur(spark):
     assert rows(lines.drop_recurring_lines(docs), "n_dropped") == [(0,), (0,)]
 
 
+def test_lines_that_nothing_asks_for_stay_out_of_the_shuffles(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=9))
+    text = lambda: "\n".join(" ".join(word() for _ in range(9)) for _ in range(50))
+    line = "Posted on the board by {} at 12:00 today as is usual here"
+    docs = spark.createDataFrame([(i, text() + "\n" + line.format(f"name{word()}")) for i in range(40)], "doc_id bigint, text string")
+    passed = []
+    sift = common.sift
+    monkeypatch.setattr(lines, "sift", lambda df, wanted, *keys: passed.append((keys, df.count(), sift(df, wanted, *keys)[0].count())) or sift(df, wanted, *keys))
+    assert sum(n for n, in rows(lines.drop_recurring_lines(docs), "n_dropped")) == 39
+    passed = [x for x in passed if "leaf" in x[0]]
+    assert [(keys, n) for keys, n, _ in passed] == [(("leaf",), 2040), (("doc", "leaf", "key"), 2040), (("leaf", "key"), 2040), (("leaf", "key"), 2040)]
+    assert all(40 <= some < 45 for _, _, some in passed)
+
+
+def test_a_sieve_of_many_keys_holds_back_almost_all_others(spark):
+    wanted = spark.range(400_000)
+    some, none = common.sift(spark.range(390_000, 500_000), wanted, "id")
+    assert some.where("id < 400000").count() == 10_000
+    assert some.count() < 12_000 and some.count() + none.count() == 110_000 and some.join(none, "id").count() == 0
+    assert some.columns == none.columns == ["id"]
+
+
 @pytest.mark.parametrize("n", [60, 1500])
 @pytest.mark.parametrize("drop", [lambda spark, docs: lines.line_stage(spark, docs, ""), lambda spark, docs: lines.drop_recurring_lines(docs)])
 def test_fields_whose_values_recur_are_fields_at_any_size(spark, n, drop):
